@@ -234,8 +234,9 @@ def mix(
     slots = spark.range(0, stretches, 1, max(1, min(stretches, shuffle_partitions(spark)))).mapInArrow(
         _stretches(streams, shift), "slot long, source_index long, block long, epoch long, room long"
     )
+    # The planner takes the slots for as few as the stretches they come from, so it must be told to shuffle both sides.
     takes = (
-        pieces.join(slots, ["source_index", "block"])
+        pieces.join(slots.hint("merge"), ["source_index", "block"])
         .withColumn("length", F.least("words", F.col("room") - F.col("inset")))
         .where("length > 0")
         .select("slot", "epoch", "source_index", "doc_id", "place", "start", "length")
