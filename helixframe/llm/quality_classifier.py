@@ -34,7 +34,7 @@ from helixframe.llm.common import labelled_rows, settle, text_or_empty
 
 BUCKETS, WIDTH, NONZERO, REACH = 1 << 16, 32, 4, 2
 HIDDEN, EPOCHS, BATCH = 32, 80, 256
-#: Tasks that the labelled sample is dealt to; each sends one partial sum.
+#: Tasks that sum over the labelled sample; each sends one partial sum, however many partitions the sample has.
 FIT_TASKS = 8
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|\n+|_+")
 _CACHE_LIMIT = 400_000
@@ -151,7 +151,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fold: Column, fit_rows: int
     rows = F.broadcast(labelled_rows(labels, "quality", fold, fit_rows).select(F.col("doc_id").alias("_id"), "label"))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(rows, F.col("doc_id") == F.col("_id"))
     sample = settle(chosen.select("doc_id", "text", "label").repartition(FIT_TASKS, "doc_id"))
-    sums = sample.select("text").mapInArrow(_context_sums(seed), "sums binary").collect()
+    sums = sample.select("text").coalesce(FIT_TASKS).mapInArrow(_context_sums(seed), "sums binary").collect()
     vectors = sum((np.frombuffer(r["sums"], dtype=np.float32).astype(np.float64) for r in sums), np.zeros(BUCKETS * WIDTH))
     vectors = vectors.reshape(BUCKETS, WIDTH)
     vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
