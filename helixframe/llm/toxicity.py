@@ -36,7 +36,7 @@ BUCKETS = 1 << BITS
 ORDERS = (4, 5, 6, 7)
 FEATURES = 2048
 SMOOTHING = 0.5
-#: Tasks that the labelled sample is dealt to; each sends one table of counts.
+#: Tasks that count over the labelled sample; each sends one table, however many partitions the sample has.
 FIT_TASKS = 8
 _CHUNK = 1 << 20
 
@@ -130,7 +130,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: Column, fit_rows: int
     rows = F.broadcast(labelled_rows(labels, "toxic", fold, fit_rows).select(F.col("doc_id").alias("_id"), "label"))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(rows, F.col("doc_id") == F.col("_id"))
     sample = settle(chosen.select("doc_id", "text", "label").repartition(FIT_TASKS, "doc_id"))
-    tables = sample.select("text", "label").mapInArrow(_counts, "clean long, toxic long, counts binary").collect()
+    tables = sample.select("text", "label").coalesce(FIT_TASKS).mapInArrow(_counts, "clean long, toxic long, counts binary").collect()
     n_clean, n_toxic = sum(r["clean"] for r in tables), sum(r["toxic"] for r in tables)
     if not n_clean or not n_toxic:
         return 1.0 if n_toxic else 0.0
