@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,32 @@ def labelled_rows(labels: DataFrame, label: str, fold: Column, limit: int, seed:
     if total > limit:
         rows = rows.where(hash_share("doc_id", seed) < int((1 << 32) * limit / total))
     return rows
+
+
+#: Rows whose texts a Python worker holds as strings at a time.
+ROWS_AT_ONCE = 512
+
+
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, so that few texts are Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
+def partial_sums(table: np.ndarray, slices: int = 32) -> Iterator[pa.RecordBatch]:
+    """A task's table of numbers as rows (slice, part) for ``summed``."""
+    parts = [p.tobytes() for p in np.split(table.ravel(), slices)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "part"])
+
+
+def summed(partials: DataFrame, kind: type) -> np.ndarray:
+    """The sum of the tables that tasks sent by ``partial_sums``, added up on the executors slice by slice."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(p, dtype=kind).astype(np.float64) for p in table.column("part").to_pylist())
+        return pa.table({"slice": table.column("slice").slice(0, 1).cast(pa.int32()), "part": pa.array([total.astype(kind).tobytes()], pa.binary())})
+
+    rows = partials.groupBy("slice").applyInArrow(add, "slice int, part binary").collect()
+    rows.sort(key=lambda r: r["slice"])
+    return np.concatenate([np.frombuffer(r["part"], dtype=kind) for r in rows]) if rows else np.empty(0, dtype=kind)

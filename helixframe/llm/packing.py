@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import text_or_empty
+from helixframe.llm.common import in_slices, text_or_empty
 
 #: A sequence's number holds the task's partition above this many bits.
 COUNTER_BITS = 33
@@ -83,7 +83,7 @@ def _pieces(vocabulary: str, ranks: str | None, max_length: int, end_id: int, wi
         encode, context = _encoder(vocabulary, ranks), TaskContext.get()
         number = (context.partitionId() if context else 0) << COUNTER_BITS
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "sequence_id", "offset"] + ["input_ids"] * with_ids
-        for batch in batches:
+        for batch in in_slices(batches):
             owners, starts, lengths, sums, totals, ids = [], [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 tokens = np.append(encode(text), np.uint32(end_id)).astype("<u4", copy=False)

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import labelled_rows, settle, text_or_empty
+from helixframe.llm.common import in_slices, labelled_rows, partial_sums, settle, summed, text_or_empty
 
 BUCKETS, WIDTH, NONZERO, REACH = 1 << 16, 32, 4, 2
 HIDDEN, EPOCHS, BATCH = 32, 80, 256
 #: Tasks that sum over the labelled sample; each sends one partial sum, however many partitions the sample has.
 FIT_TASKS = 8
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|\n+|_+")
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 200_000
 
 
 class _Buckets(dict):
@@ -67,14 +67,14 @@ def _context_sums(seed: int):
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions, signs = _index_vectors(seed)
         total, cache = np.zeros(BUCKETS * WIDTH, dtype=np.float64), _Buckets()
-        for batch in batches:
+        for batch in in_slices(batches):
             for text in batch.column("text").to_pylist():
                 ids = _buckets(text, cache)
                 for k in range(1, REACH + 1):
                     for a, b in ((ids[:-k], ids[k:]), (ids[k:], ids[:-k])):
                         if len(a):
                             np.add.at(total, (a[:, None] * WIDTH + positions[b]).ravel(), signs[b].ravel())
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["sums"])
+        yield from partial_sums(total.astype(np.float32))
 
     return sums
 
@@ -141,8 +141,11 @@ def train_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, seed: int)
     model = QualityModel(vectors, mean, scale, params[0], params[1], params[2], float(params[3][0]), 1.0)
     if len(held):
         logits, truth = model.logits(x[held]), y[held]
-        loss = lambda t: np.logaddexp(0, np.where(truth == 1, -logits, logits) / t).sum()
-        model.temperature = float(min(np.geomspace(0.25, 8.0, 61), key=loss))
+        ones = truth.sum()
+        # Smoothed targets keep the temperature away from zero where the kept-back rows are told apart without error.
+        soft = np.where(truth == 1, (ones + 1) / (ones + 2), 1 / (len(truth) - ones + 2))
+        loss = lambda t: (soft * np.logaddexp(0, -logits / t) + (1 - soft) * np.logaddexp(0, logits / t)).sum()
+        model.temperature = float(min(np.geomspace(0.05, 20.0, 121), key=loss))
     return model
 
 
@@ -151,15 +154,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fold: Column, fit_rows: int
     rows = F.broadcast(labelled_rows(labels, "quality", fold, fit_rows).select(F.col("doc_id").alias("_id"), "label"))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(rows, F.col("doc_id") == F.col("_id"))
     sample = settle(chosen.select("doc_id", "text", "label").repartition(FIT_TASKS, "doc_id"))
-    sums = sample.select("text").coalesce(FIT_TASKS).mapInArrow(_context_sums(seed), "sums binary").collect()
-    vectors = sum((np.frombuffer(r["sums"], dtype=np.float32).astype(np.float64) for r in sums), np.zeros(BUCKETS * WIDTH))
+    partials = sample.select("text").coalesce(FIT_TASKS).mapInArrow(_context_sums(seed), "slice int, part binary")
+    vectors = summed(partials, np.float32).astype(np.float64)
+    vectors = vectors if len(vectors) else np.zeros(BUCKETS * WIDTH)
     vectors = vectors.reshape(BUCKETS, WIDTH)
     vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Buckets()
-        for batch in batches:
+        for batch in in_slices(batches):
             made = [pooled(t, shared.value, cache).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(made, pa.binary())], ["doc_id", "label", "x"])
 
@@ -182,7 +186,7 @@ def score_quality(docs: DataFrame, model: QualityModel | float) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, m = _Buckets(), shared.value
-        for batch in batches:
+        for batch in in_slices(batches):
             if batch.num_rows:
                 x = np.stack([pooled(t, m.vectors, cache) for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.scores(x))], ["doc_id", "score"])
@@ -198,7 +202,7 @@ def keep_quality(docs: DataFrame, model: QualityModel | float, threshold: float
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, m = _Buckets(), shared.value
-        for batch in batches:
+        for batch in in_slices(batches):
             if batch.num_rows:
                 x = np.stack([pooled(t or "", m.vectors, cache) for t in batch.column("text").to_pylist()])
                 yield batch.filter(pa.array(m.scores(x) >= threshold))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import settle, text_or_empty
+from helixframe.llm.common import in_slices, settle, text_or_empty
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_TOKEN = 16
@@ -175,7 +175,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place = [("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]
     base_type = pa.list_(pa.struct(place))
     test_type = pa.list_(pa.struct([*place, ("stratum", pa.int32()), ("bin", pa.int32())]))
-    for batch in batches:
+    for batch in in_slices(batches):
         counts, shas, base, tests, plain = ([], [], []), [], [], [], []
         for text in batch.column("text").to_pylist():
             spans = base_spans(text)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import settle, text_or_empty
+from helixframe.llm.common import in_slices, settle, text_or_empty
 from helixframe.llm.graph import components
 
 #: Members of a key that one task compares; larger keys take the other way.
@@ -82,7 +82,7 @@ def majority_bits(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
 
 def _fingerprints(words: int, lanes: int, distinct: bool):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column("text").to_pylist()
             hashes = (shingle_hashes(t, words) for t in texts)
             prints = [majority_bits(np.unique(h) if distinct else h, lanes) for h in hashes]

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import settle
+from helixframe.llm.common import in_slices, settle
 
 _TAG = re.compile(r"<(tool_call|tool_result)>(.*?)</\1>", re.DOTALL)
 _KINDS = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
@@ -155,7 +155,7 @@ def _parse(schemas: Mapping[str, Mapping]):
     result_type = pa.list_(pa.struct([("id", pa.string())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             made = [parse_message(r or "", t or "", schemas) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             calls, results, malformed, spoken = zip(*made, strict=True) if made else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(

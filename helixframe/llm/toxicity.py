@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import labelled_rows, settle, text_or_empty
+from helixframe.llm.common import in_slices, labelled_rows, partial_sums, settle, summed, text_or_empty
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -60,18 +60,15 @@ def gram_buckets(text: str) -> Iterator[np.ndarray]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either class that have each bucket."""
-    table, seen, rows = np.zeros((2, BUCKETS), dtype=np.int32), np.zeros(BUCKETS, dtype=bool), [0, 0]
-    for batch in batches:
+    table, seen = np.zeros((2, BUCKETS), dtype=np.int32), np.zeros(BUCKETS, dtype=bool)
+    for batch in in_slices(batches):
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
             for grams in gram_buckets(text):
                 seen[grams] = True
             has = np.flatnonzero(seen)
             table[label, has] += 1
             seen[has] = False
-            rows[label] += 1
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([rows[0]], pa.int64()), pa.array([rows[1]], pa.int64()), pa.array([table.tobytes()], pa.binary())], ["clean", "toxic", "counts"]
-    )
+    yield from partial_sums(table)
 
 
 @dataclass
@@ -106,7 +103,8 @@ def choose_features(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic:
 def logistic(x: np.ndarray, ratios: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights (coefficient times ratio) and intercept; accelerated gradient steps on 0/1 rows times ratios."""
     n = len(y)
-    scaled = x.astype(np.float32) * ratios.astype(np.float32)
+    scaled = x.astype(np.float32)
+    scaled *= ratios.astype(np.float32)
     vector = np.ones(scaled.shape[1], dtype=np.float32)
     for _ in range(20):  # power iteration: the curvature sets the step
         vector = scaled.T @ (scaled @ vector)
@@ -130,12 +128,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: Column, fit_rows: int
     rows = F.broadcast(labelled_rows(labels, "toxic", fold, fit_rows).select(F.col("doc_id").alias("_id"), "label"))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(rows, F.col("doc_id") == F.col("_id"))
     sample = settle(chosen.select("doc_id", "text", "label").repartition(FIT_TASKS, "doc_id"))
-    tables = sample.select("text", "label").coalesce(FIT_TASKS).mapInArrow(_counts, "clean long, toxic long, counts binary").collect()
-    n_clean, n_toxic = sum(r["clean"] for r in tables), sum(r["toxic"] for r in tables)
+    by_label = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n_clean, n_toxic = by_label.get(0, 0), by_label.get(1, 0)
     if not n_clean or not n_toxic:
         return 1.0 if n_toxic else 0.0
-    counts = sum((np.frombuffer(r["counts"], dtype=np.int32).reshape(2, -1) for r in tables), np.zeros((2, BUCKETS), dtype=np.int64))
-    del tables
+    partials = sample.select("text", "label").coalesce(FIT_TASKS).mapInArrow(_counts, "slice int, part binary")
+    counts = summed(partials, np.int32).reshape(2, BUCKETS)
     best, ratios = choose_features(counts[0], counts[1], n_clean, n_toxic)
     places = np.zeros(BUCKETS, dtype=np.uint16)
     places[best] = np.arange(1, len(best) + 1)
@@ -143,7 +141,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: Column, fit_rows: int
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(shared.value.weights)
-        for batch in batches:
+        for batch in in_slices(batches):
             made = []
             for text in batch.column("text").to_pylist():
                 row = np.zeros(size, dtype=bool)
@@ -167,7 +165,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             made = [shared.value.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.float64())], ["doc_id", "score"])
 
