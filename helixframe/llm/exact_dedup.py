@@ -132,8 +132,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    name = lambda doc_id, sha: F.concat_ws(":", doc_id.cast("string"), sha)
+    kept = exact_groups(docs).where("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias("_name"))
     own = F.sha2(F.regexp_replace(text_or_empty(), SPACES, " "), 256)
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_own"), own.alias("_own_sha"))
-    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_sha") == F.col("_sha"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_own", "_own_sha"]).select("_row.*")
+    rows = docs.select(F.struct("*").alias("_row"), name(F.col("doc_id").cast("long"), own).alias("_name"))
+    # Rows that repeat identifier and text share a name; the join's partitioning serves to drop them, too.
+    return rows.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select("_row.*")
