@@ -38,11 +38,12 @@ def reverse_complement(seq: ColumnLike) -> Column:
 
 
 def windows(seq: ColumnLike, k: int) -> Column:
-    """All overlapping words of length ``k``; no words where the sequence is shorter."""
-    s = _column(seq)
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substring(s, i, k))).otherwise(
-        F.array().cast("array<string>")
-    )
+    """All overlapping words of length ``k``; no words where the sequence is shorter.
+
+    One pass with a look-ahead: taking substrings by position would walk the
+    sequence from its start for each.
+    """
+    return F.regexp_extract_all(_column(seq), F.lit(f"(?=(.{{{k}}}))"), 1)
 
 
 def count_word(seq: ColumnLike, word: str) -> Column:
@@ -80,5 +81,10 @@ def chunks(seq: ColumnLike, window: int, stride: int) -> Column:
     s = _column(seq)
     if window <= 0 or stride <= 0:
         return F.array(s)
-    last = F.greatest(F.lit(0), F.length(s) - window)
-    return F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.substring(s, i + 1, F.lit(window)))
+
+    def cut(text: Column) -> Column:
+        last = F.greatest(F.lit(0), F.length(text) - window)
+        return F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.substring(text, i + 1, F.lit(window)))
+
+    # Bound as a lambda's argument, the sequence's expression is evaluated once and not for every chunk.
+    return F.get(F.transform(F.array(s), cut), 0)
