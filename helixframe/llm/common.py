@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,35 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.plans.lineage import settle, shared_folder  # noqa: F401
+
 #: One run of white space, and one word, as the contracts define them.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Where that is unset, a folder in the warehouse is used, which a cluster
-    shares; a session whose executors are threads of the driver (tests, a
-    laptop) uses a temporary one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    master = spark.sparkContext.master
-    one_process = master == "local" or master.startswith("local[")
-    top = tempfile.gettempdir() if one_process else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top}/helixframe-checkpoints"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
