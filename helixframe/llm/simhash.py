@@ -251,8 +251,11 @@ def links_within(nodes: DataFrame, max_distance: int = 2, blocks: int = 4, group
     flips = F.array(
         *[F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64) * (b == 63)).cast("long") for b in free]) for free in _free_bits(64, blocks, agreeing)]
     )
-    near = crowded.select("node", F.explode(F.transform(F.element_at(flips, F.col("choice") + 1), lambda f: F.col("print").bitwiseXOR(f))).alias("spot"))
-    met = near.groupBy("spot").agg(F.min("node").alias("a"), F.collect_set("node").alias("members")).where(F.size("members") > 1)
+    spots = F.explode(F.transform(F.element_at(flips, F.col("choice") + 1), lambda f: F.col("print").bitwiseXOR(f)))
+    near = crowded.select("node", "print", spots.alias("spot")).distinct()
+    # Two members that meet are at most two bits apart, and one bit if one of them owns the spot.
+    owner = F.min("node") if max_distance == 2 else F.min(F.when(F.col("print") == F.col("spot"), F.col("node")))
+    met = near.groupBy("spot").agg(owner.alias("a"), F.collect_set("node").alias("members")).where(F.size("members") > 1)
     return links.unionByName(met.select("a", F.explode("members").alias("b")).where("a <> b"))
 
 
