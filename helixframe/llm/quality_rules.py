@@ -34,6 +34,7 @@ SPACE_CHARS = "\t\n\x0b\f\r "
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STOPS = ".!?:;"
+USUAL = "abcdefghijklmnopqrstuvwxyz "
 MIN_WORDS = 50
 GOOD, NONE, BAD = 1, 0, -1
 
@@ -49,8 +50,9 @@ def with_counts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     spaced = F.translate("text", SPACE_CHARS, " " * len(SPACE_CHARS))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    number = lambda chars: (F.length("text") - F.length(F.translate("text", chars, ""))).cast("long")
-    rows = rows.select("doc_id", "text", F.split(spaced, " ", -1).alias("parts"), lines.alias("lines"))
+    # What is counted are few of the characters: without the usual ones, the counts run over a short string.
+    number = lambda chars: (F.length("rare") - F.length(F.translate("rare", chars, ""))).cast("long")
+    rows = rows.select("doc_id", "text", F.split(spaced, " ", -1).alias("parts"), lines.alias("lines"), F.translate("text", USUAL, "").alias("rare"))
     rows = rows.select(
         "doc_id",
         F.array_remove("parts", "").alias("words"),
@@ -65,7 +67,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
     bits = F.ceil(F.log2(F.greatest(n, F.lit(2)) + F.lit(1))).cast("int")
     windows = F.when(
         n >= 4,
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.sequence(F.lit(0), n - 3),
                 lambda i: F.expr("0L")
@@ -84,29 +86,29 @@ def with_counts(docs: DataFrame) -> DataFrame:
         "n_upper",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("lines", lambda x: F.length(F.translate(x, SYMBOLS, "")) < F.length(x))).cast("long").alias("n_symbol_lines"),
+        F.when(F.col("n_symbols") > 0, F.size(F.filter("lines", lambda x: F.length(F.translate(x, SYMBOLS, "")) < F.length(x)))).otherwise(0).cast("long").alias("n_symbol_lines"),
         "n_stops",
         "sorted",
         "bits",
     )
     mask = F.call_function("shiftleft", F.expr("1L"), F.col("bits")) - 1
-    same_hash = lambda a, b: F.call_function("shiftright", a, F.col("bits")) == F.call_function("shiftright", b, F.col("bits"))
-    at = lambda a, k: F.get("words", a.bitwiseAND(mask).cast("int") + k)
-    same = lambda a, b: same_hash(a, b) & (at(a, 0) == at(b, 0)) & (at(a, 1) == at(b, 1)) & (at(a, 2) == at(b, 2))
-    twice = F.filter(
-        "sorted",
-        lambda v, i: F.coalesce(
-            same(v, F.get("sorted", i + 1)) | F.when(i > 0, same(v, F.get("sorted", i - 1))).otherwise(False),
-            F.when(i > 0, same(v, F.get("sorted", i - 1))).otherwise(False),
-        ),
+    # Neighbours whose hashes agree are few; only these are looked up and compared word by word.
+    agree = lambda i: F.call_function("shiftright", F.get("sorted", i).bitwiseXOR(F.get("sorted", i + 1)), F.col("bits")) == 0
+    rows = rows.withColumn(
+        "twins",
+        F.when(F.size("sorted") >= 2, F.filter(F.sequence(F.lit(0), F.size("sorted") - 2), agree)).otherwise(F.array().cast("array<int>")),
     )
-    rows = rows.withColumn("starts", F.array_sort(F.transform(twice, lambda v: v.bitwiseAND(mask))))
+    start = lambda i: F.get("sorted", i).bitwiseAND(mask).cast("int")
+    word = lambda i, k: F.get("words", start(i) + k)
+    same = lambda i: (word(i, 0) == word(i + 1, 0)) & (word(i, 1) == word(i + 1, 1)) & (word(i, 2) == word(i + 1, 2))
+    found = F.flatten(F.transform(F.filter("twins", same), lambda i: F.array(start(i), start(i + 1))))
+    rows = rows.withColumn("starts", F.sort_array(F.array_distinct(found)))
     covered = F.aggregate(
-        F.transform("starts", lambda v, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("starts", i + 1) - v, F.lit(3).cast("long")))),
+        F.transform("starts", lambda v, i: F.least(F.lit(3), F.coalesce(F.get("starts", i + 1) - v, F.lit(3))).cast("long")),
         F.expr("0L"),
         lambda a, x: a + x,
     )
-    return rows.withColumn("n_repeat_words", covered).drop("words", "sorted", "starts", "bits")
+    return rows.withColumn("n_repeat_words", covered).drop("words", "sorted", "twins", "starts", "bits")
 
 
 def _vote(good: Column, bad: Column) -> Column:
