@@ -267,15 +267,18 @@ def links_by_block(nodes: DataFrame, lanes: int, blocks: int, max_distance: int,
     many, and a pair needs one of them in common.  A key with more than
     ``group_rows`` members is dealt out at random in parts of about that size;
     each part is linked, one member of each of its components goes on, and the
-    parts' members meet again, until they fit one task.
+    parts' members meet again, until they fit one task.  Members that stay many
+    though they are not alike share their block by chance: they go on under
+    keys of one block more, a later one each time.  (Blocks of log2 of the number of texts keep such
+    company rare.)
     """
     size = 8 * lanes // blocks
     if size * blocks != 8 * lanes or size > 7:
         raise ValueError("a block must be a whole number of bytes, 7 at most")
     whole = lambda i: F.conv(F.hex(F.substring("print", i * size + 1, size)), 16, 10).cast("long")
-    keys = F.array(*[whole(i) * F.lit(blocks) + F.lit(i) for i in range(blocks)])
-    keyed = nodes.where("node is not null").select("node", "print", F.explode(keys).alias("key"))
-    links = None
+    keys = F.array(*[F.struct(F.lit(i).alias("last"), (whole(i) * F.lit(blocks) + F.lit(i)).alias("key")) for i in range(blocks)])
+    keyed = nodes.where("node is not null").select("node", "print", F.explode(keys).alias("k")).select("node", "print", "k.last", "k.key")
+    links = before = None
     while True:
         hot = settle(keyed.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > group_rows))
         n_hot = hot.count()
@@ -288,15 +291,22 @@ def links_by_block(nodes: DataFrame, lanes: int, blocks: int, max_distance: int,
         links = new if links is None else links.unionByName(new)
         if not n_hot:
             return links
+        crowd = hot.agg(F.sum("members")).first()[0]
+        if before is not None and crowd > 0.9 * before:
+            longer = F.array(*[F.struct(F.lit(i).alias("last"), F.xxhash64("key", F.lit(i), whole(i)).alias("key")) for i in range(blocks)])
+            later = keyed.join(hot, "key", "left_semi").select("node", "print", F.explode(F.filter(longer, lambda k: k["last"] > F.col("last"))).alias("k"))
+            keyed, before = settle(later.select("node", "print", "k.last", "k.key")), None
+            continue
+        before = crowd
         part = F.pmod(F.xxhash64("key", "node", F.lit(n_hot)), F.ceil(F.col("members") / F.lit(group_rows / 2)))
-        parts = keyed.join(hot, "key").select(F.xxhash64("key", part).alias("part"), F.col("key").alias("home"), "node", "print")
+        parts = keyed.join(hot, "key").select(F.xxhash64("key", part).alias("part"), F.col("key").alias("home"), "last", "node", "print")
         parts = settle(parts)
         inner = settle(
             parts.select(F.col("part").alias("key"), "node", "print").repartition("key").sortWithinPartitions("key").mapInArrow(_within_keys(max_distance, lanes), "a long, b long")
         )
         links = links.unionByName(inner)
         reached = inner.select(F.greatest("a", "b").alias("node")).distinct()
-        keyed = settle(parts.join(reached, "node", "left_anti").select(F.col("home").alias("key"), "node", "print"))
+        keyed = settle(parts.join(reached, "node", "left_anti").select("node", "print", "last", F.col("home").alias("key")))
 
 
 def near_duplicates(

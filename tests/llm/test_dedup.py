@@ -153,3 +153,13 @@ def test_similar_texts_meet_and_others_do_not(spark, group_rows):
     assert got == partner
     kept = simhash.keep_one_of_each(df, group_rows=group_rows)
     assert {r["doc_id"] for r in kept.collect()} == set(partner.values()) and kept.columns == df.columns
+
+
+def test_chance_company_in_a_block_ends(spark):
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, (20, 8), dtype=np.uint64)
+    prints[:, 0] ^= (prints[:, 0] ^ np.uint64(7)) & np.uint64(0xFFFF)
+    prints[1] = prints[0] ^ np.array([0, 1, 0, 0, 0, 0, 0, 0], dtype=np.uint64)
+    nodes = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(prints)], "node long, print binary")
+    links = simhash.links_by_block(nodes, 8, 32, 88, group_rows=8)
+    assert {tuple(sorted(r)) for r in links.collect()} == {(0, 1)}
