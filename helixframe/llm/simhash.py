@@ -292,7 +292,7 @@ def links_by_block(nodes: DataFrame, lanes: int, blocks: int, max_distance: int,
         if not n_hot:
             return links
         crowd = hot.agg(F.sum("members")).first()[0]
-        if before is not None and crowd > 0.9 * before:
+        if before is not None and crowd > 0.98 * before:
             longer = F.array(*[F.struct(F.lit(i).alias("last"), F.xxhash64("key", F.lit(i), whole(i)).alias("key")) for i in range(blocks)])
             later = keyed.join(hot, "key", "left_semi").select("node", "print", F.explode(F.filter(longer, lambda k: k["last"] > F.col("last"))).alias("k"))
             keyed, before = settle(later.select("node", "print", "k.last", "k.key")), None
