@@ -18,7 +18,9 @@ def components(links: DataFrame) -> DataFrame:
     steps are joins and partially aggregated minima.  Nulls and self-links are
     ignored; no links give no rows.
     """
-    both = links.where("a is not null and b is not null and a <> b")
+    # Settled before it is turned round: a search that depends on the order of rows may give other links the next time,
+    # and every link must be there in both directions.
+    both = settle(links.where("a is not null and b is not null and a <> b").select("a", "b"))
     edges = settle(both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = settle(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("f")))
     before = None
