@@ -24,6 +24,16 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def row_key() -> Column:
+    """A long that tells rows of (doc_id, text) apart; equal rows share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text_or_empty())
+
+
+def row_name(doc_id: Column, key: Column) -> Column:
+    """Identifier, if any, and ``row_key`` as one value to join on, the same for equal rows only."""
+    return F.concat_ws(":", doc_id.cast("string"), key.cast("string"))
+
+
 def hash_share(column: str, seed: int = 0) -> Column:
     """A long in [0, 2**32) that depends on the column's value and the seed alone."""
     return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1 << 32))

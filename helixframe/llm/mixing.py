@@ -17,7 +17,8 @@ taken equal the target but for rounding to a whole word.
 
 Edge cases: a null source is a source of its own, after all others.  A null
 text, an empty one or one of white space has size 0 and is never taken.
-Repeated rows are laid out, and counted, once each.  An empty table gives no
+Repeated rows are laid out, and counted, once each.  Rows without an identifier
+are told apart by their text.  An empty table gives no
 rows.  Extra columns are ignored.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import WORD, settle, shuffle_partitions, text_or_empty
+from helixframe.llm.common import WORD, row_key, row_name, settle, shuffle_partitions, text_or_empty
 
 #: Odd integer next to 2**64 / golden ratio: the Weyl step of the schedule.
 GOLDEN_STEP = 0x9E3779B97F4A7C15
@@ -157,7 +158,7 @@ def _stretches(streams: list[Stream], shift: int):
 
 @dataclass(frozen=True)
 class Mixture:
-    """documents: (doc_id, size, source_index, place); sources: a row for each source; takes: what each slot takes."""
+    """documents: (doc_id, size, source_index, row_key, place); sources: a row for each source; takes: what each slot takes."""
 
     documents: DataFrame
     sources: DataFrame
@@ -186,6 +187,7 @@ def mix(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
+            row_key().alias("row_key"),
         )
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -203,7 +205,7 @@ def mix(
 
     slices = max(shuffle_partitions(spark), -(-max((r["n"] for r in totals), default=0) // ROWS_PER_SLICE))
     indexed = sized.join(F.broadcast(sources.select("source_index", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s"))).select(
-        "doc_id", "size", "source_index", F.xxhash64(F.lit(seed), "doc_id").alias("_h")
+        "doc_id", "size", "source_index", "row_key", F.xxhash64(F.lit(seed), "doc_id", "row_key").alias("_h")
     )
     indexed = indexed.withColumn("_slice", F.pmod("_h", F.lit(slices)))
     ahead = indexed.groupBy("source_index", "_slice").agg(F.sum("size").alias("_n"))
@@ -211,7 +213,7 @@ def mix(
     ahead = ahead.select("source_index", "_slice", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_ahead"))
     inside = Window.partitionBy("source_index", "_slice").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = indexed.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ahead, ["source_index", "_slice"])
-    documents = settle(placed.select("doc_id", "size", "source_index", (F.col("_ahead") + F.col("_in")).alias("place")))
+    documents = settle(placed.select("doc_id", "size", "source_index", "row_key", (F.col("_ahead") + F.col("_in")).alias("place")))
 
     b = F.lit(block_words)
     end = F.col("place") + F.col("size")
@@ -246,12 +248,14 @@ def mix(
 
 def taken_words(mixture: Mixture) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    some = mixture.documents.where("size > 0").select("source_index", "place", "doc_id", "size", F.lit(0).cast("long").alias("length"))
-    parts = mixture.takes.select("source_index", "place", "doc_id", F.lit(0).cast("long").alias("size"), "length")
-    sums = some.unionByName(parts).groupBy("source_index", "place", "doc_id").agg(F.max("size").alias("size"), F.sum("length").alias("taken"))
-    none = mixture.documents.where("size = 0").select("source_index", "place", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
+    long = lambda n: F.lit(n).cast("long")
+    some = mixture.documents.where("size > 0").select("source_index", "place", "doc_id", "row_key", "size", long(0).alias("length"))
+    parts = mixture.takes.select("source_index", "place", "doc_id", long(None).alias("row_key"), long(0).alias("size"), "length")
+    sums = some.unionByName(parts).groupBy("source_index", "place", "doc_id")
+    sums = sums.agg(F.max("size").alias("size"), F.sum("length").alias("taken"), F.max("row_key").alias("row_key"))
+    none = mixture.documents.where("size = 0").select("source_index", "place", "doc_id", "size", long(0).alias("taken"), "row_key")
     return sums.unionByName(none).join(F.broadcast(mixture.sources), "source_index").select(
-        "doc_id", "size", "source_size", "target", "taken", "source", "place"
+        "doc_id", "size", "source_size", "target", "taken", "source", "place", "row_key"
     )
 
 
@@ -260,11 +264,13 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
 
     A source's slots take whole documents but for the one at which its target
     is reached, so the words of these rows stay within half a document of each
-    source's target.  ``doc_id`` must identify rows.
+    source's target.  Rows that repeat identifier, text and source, or have no
+    identifier and the same text, share what is taken of them evenly.
     """
-    times = taken_words(mix(docs, **parameters)).select(
-        F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("_times")
-    )
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_own"))
-    copies = rows.join(times.where("_times > 0"), F.col("_own") == F.col("_id"))
+    name = lambda doc_id, key, source: F.concat_ws(":", row_name(doc_id, key), F.xxhash64(source).cast("string"))
+    known = F.col("source").cast("string")
+    taken = taken_words(mix(docs, **parameters)).select(name(F.col("doc_id"), F.col("row_key"), known).alias("_name"), "size", "taken")
+    times = taken.groupBy("_name").agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("_times"))
+    rows = docs.select(F.struct("*").alias("_row"), name(F.col("doc_id").cast("long"), row_key(), known).alias("_name"))
+    copies = rows.join(times.where("_times > 0"), "_name")
     return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

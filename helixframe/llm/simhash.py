@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import in_slices, settle, text_or_empty
+from helixframe.llm.common import in_slices, row_key, row_name, settle, text_or_empty
 from helixframe.llm.graph import components
 
 #: Members of a key that one task compares; larger keys take the other way.
@@ -90,19 +90,22 @@ def _fingerprints(words: int, lanes: int, distinct: bool):
                 column = pa.array(np.concatenate(prints).view(np.int64) if prints else np.empty(0, np.int64))
             else:
                 column = pa.array([p.tobytes() for p in prints], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "print"])
+            passed = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in passed), column], [*passed, "print"])
 
     return make
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool = False, with_key: bool = False) -> DataFrame:
     """(doc_id, print) of ``docs(doc_id, text)``; print is a long, or binary where it has more than 64 bits.
 
-    ``distinct`` counts a shingle that repeats in a text once.
+    ``distinct`` counts a shingle that repeats in a text once; ``with_key``
+    puts ``row_key`` between the two columns.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    keys = [row_key().alias("row_key")] * with_key
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text_or_empty().alias("text"))
     kind = "long" if lanes == 1 else "binary"
-    return source.mapInArrow(_fingerprints(words, lanes, distinct), f"doc_id long, print {kind}")
+    return source.mapInArrow(_fingerprints(words, lanes, distinct), f"doc_id long, {'row_key long, ' * with_key}print {kind}")
 
 
 def linked_members(prints: np.ndarray, max_distance: int) -> list[tuple[int, int]]:
@@ -317,13 +320,14 @@ def near_duplicates(
     lanes: int = 1,
     distinct: bool = False,
     group_rows: int = GROUP_ROWS,
+    with_key: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex digits a lane), component_id.
 
     With one lane the links are exact at ``max_distance``; with more, see
-    ``links_by_block``.
+    ``links_by_block``.  ``with_key`` adds ``row_key``.
     """
-    prints = settle(fingerprints(docs, words, lanes, distinct))
+    prints = settle(fingerprints(docs, words, lanes, distinct, with_key))
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("node"))
     if lanes == 1:
         links = links_within(nodes, max_distance, blocks, group_rows)
@@ -332,7 +336,7 @@ def near_duplicates(
     found = components(links)
     owners = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     shown = F.lower(F.lpad(F.hex("print"), 16, "0")) if lanes == 1 else F.lower(F.hex("print"))
-    return prints.join(owners, "print").select("doc_id", shown.alias("fingerprint"), "component_id")
+    return prints.join(owners, "print").select("doc_id", shown.alias("fingerprint"), "component_id", *["row_key"] * with_key)
 
 
 #: Fingerprints for a Jaccard similarity of 0.8 on five-word shingles.  Two such texts' shingle vectors have a cosine
@@ -342,7 +346,16 @@ SIMILAR = {"words": 5, "lanes": 8, "blocks": 32, "max_distance": 88, "distinct":
 
 
 def keep_one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` whose identifier is the smallest of its component, with all their columns."""
-    kept = near_duplicates(docs, **{**SIMILAR, **parameters}).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_own"))
-    return rows.join(kept, F.col("_own") == F.col("_id"), "left_semi").select("_row.*")
+    """One row of each component of ``docs``, with all its columns: the one with the smallest identifier.
+
+    Where rows with that identifier differ in text, one of them stays.  Rows
+    without an identifier go where their component has one; else one row of
+    each fingerprint stays.
+    """
+    found = near_duplicates(docs, **{**SIMILAR, **parameters}, with_key=True)
+    alone = F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")
+    firsts = found.where("component_id is null or doc_id = component_id").groupBy("component_id", alone).agg(F.min("row_key").alias("row_key"))
+    kept = firsts.select(row_name(F.col("component_id"), F.col("row_key")).alias("_name"))
+    rows = docs.select(F.struct("*").alias("_row"), row_name(F.col("doc_id").cast("long"), row_key()).alias("_name"))
+    # Rows that repeat share a name; the join's partitioning serves to drop them, too.
+    return rows.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select("_row.*")

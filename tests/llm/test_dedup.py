@@ -118,6 +118,29 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 100 for i in range(100, 162)} | {i: 5 for i in [5, *range(200, 260)]}
 
 
+@pytest.mark.parametrize("which", ["edge", "clashing"])
+def test_one_row_of_each_component_stays(request, which):
+    df = request.getfixturevalue(which)
+    component = {}
+    for r in simhash.near_duplicates(df, **simhash.SIMILAR).collect():
+        component[r["fingerprint"]] = r["component_id"]
+    kept = simhash.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    rows = kept.collect()
+    whole = set(map(str, df.collect()))
+    assert all(str(r) in whole for r in rows)
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted({str(c) for c in component.values()})
+    assert any(r["doc_id"] is None for r in rows)
+
+
+def test_rows_without_identifier_meet_others(spark):
+    same = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, same), (7, same), (None, "alone"), (None, "alone"), (3, "b"), (3, "c"), (3, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one_of_each(df).collect()), key=str)
+    assert len(got) == 3 and (7, same) in got and (None, "alone") in got and sum(i == 3 for i, _ in got) == 1
+
+
 WORDS = [f"w{i}" for i in range(4000)]
 
 

@@ -99,11 +99,22 @@ def test_sources_alternate_evenly(docs):
         assert abs(seen[s] - n * share[s] / len(rows)) < 5 + 2 * math.log(len(rows))
 
 
-def test_mixed_documents(docs, clashing):
-    for df in (docs, clashing.dropDuplicates(["doc_id"])):
-        mixed = mixing.mixed_documents(df)
-        assert mixed.columns == df.columns
-        counts = Counter(r["doc_id"] for r in mixed.select("doc_id").collect())
-        want = {r["doc_id"]: int(np.floor(r["taken"] / max(r["size"], 1) + 0.5)) for r in mixing.taken_words(mixing.mix(df)).collect()}
-        assert counts == Counter({i: n for i, n in want.items() if n and i is not None}) and max(counts.values()) <= 2
+@pytest.mark.parametrize("which", ["docs", "edge", "clashing"])
+def test_mixed_documents(request, which):
+    df = request.getfixturevalue(which)
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    name = lambda r: (r["doc_id"], r["source"], words(r["text"]))
+    given, taken, total = Counter(map(name, df.collect())), Counter(), Counter()
+    for r in mixing.taken_words(mixing.mix(df)).collect():
+        key = (r["doc_id"], r["source"], r["size"])
+        taken[key] += r["taken"]
+        total[key] += r["size"]
+    want = {k: n * int(np.floor(taken[k] / max(total[k], 1) + 0.5)) for k, n in given.items()}
+    assert Counter(map(name, mixed.collect())) == Counter({k: n for k, n in want.items() if n})
+    if which != "docs":
+        assert any(r["doc_id"] is None for r in mixed.collect())
+
+
+def test_mix_of_no_rows(docs):
     assert mixing.mixed_documents(docs.limit(0)).collect() == [] and mixing.taken_words(mixing.mix(docs.limit(0))).collect() == []
