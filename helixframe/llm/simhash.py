@@ -262,12 +262,14 @@ def links_within(nodes: DataFrame, max_distance: int = 2, blocks: int = 4, group
     return links.unionByName(met.select("a", F.explode("members").alias("b")).where("a <> b"))
 
 
-def links_by_block(nodes: DataFrame, lanes: int, blocks: int, max_distance: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+def links_by_block(nodes: DataFrame, lanes: int, blocks: int, max_distance: int, group_rows: int = GROUP_ROWS, strided: int = 0) -> DataFrame:
     """Links (a, b) between wide ``nodes(node, print)``, prints distinct, that share a block and lie within the distance.
 
     At a distance as wide as a Jaccard similarity of 0.8 asks for, blocks that
     catch every pair would be a few bits long and useless; these are longer and
-    many, and a pair needs one of them in common.  A key with more than
+    many, and a pair needs one of them in common.  ``strided`` blocks of a
+    second split, each made of bytes ``blocks`` apart, give a pair that much
+    more chance to.  A key with more than
     ``group_rows`` members is dealt out at random in parts of about that size;
     each part is linked, one member of each of its components goes on, and the
     parts' members meet again, until they fit one task.  Members that stay many
@@ -278,8 +280,12 @@ def links_by_block(nodes: DataFrame, lanes: int, blocks: int, max_distance: int,
     size = 8 * lanes // blocks
     if size * blocks != 8 * lanes or size > 7:
         raise ValueError("a block must be a whole number of bytes, 7 at most")
-    whole = lambda i: F.conv(F.hex(F.substring("print", i * size + 1, size)), 16, 10).cast("long")
-    keys = F.array(*[F.struct(F.lit(i).alias("last"), (whole(i) * F.lit(blocks) + F.lit(i)).alias("key")) for i in range(blocks)])
+    if not 0 <= strided <= blocks or blocks + strided > 128:
+        raise ValueError("a split has so many blocks at most, and both have 128")
+    places = [range(i * size, (i + 1) * size) for i in range(blocks)] + [range(i, size * blocks, blocks) for i in range(strided)]
+    block = lambda i: F.concat(*[F.substring("print", at + 1, 1) for at in places[i]])
+    whole = lambda i: F.conv(F.hex(block(i)), 16, 10).cast("long")
+    keys = F.array(*[F.struct(F.lit(i).alias("last"), (whole(i) * F.lit(len(places)) + F.lit(i)).alias("key")) for i in range(len(places))])
     keyed = nodes.where("node is not null").select("node", "print", F.explode(keys).alias("k")).select("node", "print", "k.last", "k.key")
     links = before = None
     while True:
@@ -296,7 +302,7 @@ def links_by_block(nodes: DataFrame, lanes: int, blocks: int, max_distance: int,
             return links
         crowd = hot.agg(F.sum("members")).first()[0]
         if before is not None and crowd > 0.98 * before:
-            longer = F.array(*[F.struct(F.lit(i).alias("last"), F.xxhash64("key", F.lit(i), whole(i)).alias("key")) for i in range(blocks)])
+            longer = F.array(*[F.struct(F.lit(i).alias("last"), F.xxhash64("key", F.lit(i), whole(i)).alias("key")) for i in range(len(places))])
             later = keyed.join(hot, "key", "left_semi").select("node", "print", F.explode(F.filter(longer, lambda k: k["last"] > F.col("last"))).alias("k"))
             keyed, before = settle(later.select("node", "print", "k.last", "k.key")), None
             continue
@@ -320,6 +326,7 @@ def near_duplicates(
     lanes: int = 1,
     distinct: bool = False,
     group_rows: int = GROUP_ROWS,
+    strided: int = 0,
     with_key: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex digits a lane), component_id.
@@ -332,7 +339,7 @@ def near_duplicates(
     if lanes == 1:
         links = links_within(nodes, max_distance, blocks, group_rows)
     else:
-        links = links_by_block(nodes, lanes, blocks, max_distance, group_rows)
+        links = links_by_block(nodes, lanes, blocks, max_distance, group_rows, strided)
     found = components(links)
     owners = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     shown = F.lower(F.lpad(F.hex("print"), 16, "0")) if lanes == 1 else F.lower(F.hex("print"))
@@ -341,8 +348,8 @@ def near_duplicates(
 
 #: Fingerprints for a Jaccard similarity of 0.8 on five-word shingles.  Two such texts' shingle vectors have a cosine
 #: of 0.89 and differ in 15 % of the bits, 78 of 512 with a standard deviation of 8; texts that share little differ
-#: in 40 % and more.
-SIMILAR = {"words": 5, "lanes": 8, "blocks": 32, "max_distance": 88, "distinct": True}
+#: in 40 % and more.  At exactly 0.8 such a pair shares one of the 48 blocks in 39 cases of 40, and at 0.85 in 250 of 251.
+SIMILAR = {"words": 5, "lanes": 8, "blocks": 32, "strided": 16, "max_distance": 88, "distinct": True}
 
 
 def keep_one_of_each(docs: DataFrame, **parameters) -> DataFrame:
