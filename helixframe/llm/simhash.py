@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import in_slices, row_key, row_name, settle, text_or_empty
@@ -269,13 +269,12 @@ def links_by_block(nodes: DataFrame, lanes: int, blocks: int, max_distance: int,
     catch every pair would be a few bits long and useless; these are longer and
     many, and a pair needs one of them in common.  ``strided`` blocks of a
     second split, each made of bytes ``blocks`` apart, give a pair that much
-    more chance to.  A key with more than
-    ``group_rows`` members is dealt out at random in parts of about that size;
-    each part is linked, one member of each of its components goes on, and the
-    parts' members meet again, until they fit one task.  Members that stay many
-    though they are not alike share their block by chance: they go on under
-    keys of one block more, a later one each time.  (Blocks of log2 of the number of texts keep such
-    company rare.)
+    more chance to.  Every pair within a key is compared, but for those that
+    other links connect already: a key with more than ``group_rows`` members is
+    dealt out at random in parts of half that size, each part is linked, and
+    then parts meet two at a time, unless one component fills both.  (Members
+    that are many and not alike cost the square of their number; blocks of log2
+    of the number of texts keep such company rare.)
     """
     size = 8 * lanes // blocks
     if size * blocks != 8 * lanes or size > 7:
@@ -285,37 +284,43 @@ def links_by_block(nodes: DataFrame, lanes: int, blocks: int, max_distance: int,
     places = [range(i * size, (i + 1) * size) for i in range(blocks)] + [range(i, size * blocks, blocks) for i in range(strided)]
     block = lambda i: F.concat(*[F.substring("print", at + 1, 1) for at in places[i]])
     whole = lambda i: F.conv(F.hex(block(i)), 16, 10).cast("long")
-    keys = F.array(*[F.struct(F.lit(i).alias("last"), (whole(i) * F.lit(len(places)) + F.lit(i)).alias("key")) for i in range(len(places))])
-    keyed = nodes.where("node is not null").select("node", "print", F.explode(keys).alias("k")).select("node", "print", "k.last", "k.key")
-    links = before = None
-    while True:
-        hot = settle(keyed.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > group_rows))
-        n_hot = hot.count()
-        usual = keyed
-        if n_hot:
-            hot = F.broadcast(hot) if n_hot <= 100_000 else hot
-            usual = keyed.join(hot, "key", "left_anti")
-        dealt = usual.select("key", "node", "print").repartition("key").sortWithinPartitions("key")
-        new = dealt.mapInArrow(_within_keys(max_distance, lanes), "a long, b long")
-        links = new if links is None else links.unionByName(new)
-        if not n_hot:
-            return links
-        crowd = hot.agg(F.sum("members")).first()[0]
-        if before is not None and crowd > 0.98 * before:
-            longer = F.array(*[F.struct(F.lit(i).alias("last"), F.xxhash64("key", F.lit(i), whole(i)).alias("key")) for i in range(len(places))])
-            later = keyed.join(hot, "key", "left_semi").select("node", "print", F.explode(F.filter(longer, lambda k: k["last"] > F.col("last"))).alias("k"))
-            keyed, before = settle(later.select("node", "print", "k.last", "k.key")), None
-            continue
-        before = crowd
-        part = F.pmod(F.xxhash64("key", "node", F.lit(n_hot)), F.ceil(F.col("members") / F.lit(group_rows / 2)))
-        parts = keyed.join(hot, "key").select(F.xxhash64("key", part).alias("part"), F.col("key").alias("home"), "last", "node", "print")
-        parts = settle(parts)
-        inner = settle(
-            parts.select(F.col("part").alias("key"), "node", "print").repartition("key").sortWithinPartitions("key").mapInArrow(_within_keys(max_distance, lanes), "a long, b long")
-        )
-        links = links.unionByName(inner)
-        reached = inner.select(F.greatest("a", "b").alias("node")).distinct()
-        keyed = settle(parts.join(reached, "node", "left_anti").select("node", "print", "last", F.col("home").alias("key")))
+    keys = F.array(*[whole(i) * F.lit(len(places)) + F.lit(i) for i in range(len(places))])
+    keyed = nodes.where("node is not null").select("node", "print", F.explode(keys).alias("key"))
+    linked = lambda rows: rows.repartition("key").sortWithinPartitions("key").mapInArrow(_within_keys(max_distance, lanes), "a long, b long")
+    hot = settle(keyed.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > group_rows))
+    n_hot = hot.count()
+    if not n_hot:
+        return linked(keyed.select("key", "node", "print"))
+    hot = F.broadcast(hot) if n_hot <= 100_000 else hot
+    usual = linked(keyed.join(hot, "key", "left_anti").select("key", "node", "print"))
+    part = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("members") / F.lit(group_rows / 2)))
+    crowded = settle(keyed.join(hot, "key").select(F.col("key").alias("home"), F.xxhash64("key", part).alias("key"), "node", "print"))
+    inner = settle(linked(crowded.select("key", "node", "print")))
+    between = linked(_part_pairs(crowded.select(F.col("home").alias("key"), "node", "print"), components(inner), group_rows / 2))
+    return usual.unionByName(inner).unionByName(between)
+
+
+def _part_pairs(crowded: DataFrame, found: DataFrame, rows: float) -> DataFrame:
+    """``crowded(key, node, print)`` in parts of about ``rows``, once for each two parts of a key that are to meet.
+
+    A component of ``found`` that fills a part has parts of its own, which need
+    not meet each other; all other members of a key share the rest.
+    """
+    named = settle(crowded.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"), "node", "print"))
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    owners = sizes.groupBy("key", F.when(F.col("n") >= rows, F.col("component")).alias("owner")).agg(F.ceil(F.sum("n") / F.lit(rows)).alias("parts"))
+    of_key = Window.partitionBy("key")
+    owners = settle(owners.select("key", "owner", "parts", F.sum("parts").over(of_key).alias("total"), F.sum("parts").over(of_key.orderBy("owner")).alias("end")))
+    own = owners.where("owner is not null").withColumnRenamed("owner", "component")
+    rest = owners.where("owner is null").select("key", *[F.col(c).alias(f"_{c}") for c in ("parts", "total", "end")])
+    dealt = named.join(F.broadcast(own), ["key", "component"], "left").join(F.broadcast(rest), "key", "left")
+    parts, total, end = (F.coalesce(c, f"_{c}") for c in ("parts", "total", "end"))
+    dealt = dealt.select("key", "node", "print", F.col("parts").isNotNull().alias("owned"), total.alias("total"), end.alias("end"), (end - parts).alias("first"))
+    dealt = dealt.withColumn("part", F.col("first") + F.pmod(F.xxhash64(F.lit(1), "key", "node"), F.col("end") - F.col("first")))
+    meets = lambda p: (p != F.col("part")) & (~F.col("owned") | (p < F.col("first")) | (p >= F.col("end")))
+    met = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), meets)).alias("other")
+    pairs = dealt.select("key", "part", "node", "print", met)
+    return pairs.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "node", "print")
 
 
 def near_duplicates(

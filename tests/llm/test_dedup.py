@@ -186,3 +186,45 @@ def test_chance_company_in_a_block_ends(spark):
     nodes = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(prints)], "node long, print binary")
     links = simhash.links_by_block(nodes, 8, 32, 88, group_rows=8)
     assert {tuple(sorted(r)) for r in links.collect()} == {(0, 1)}
+
+
+def wide_nodes(spark, prints):
+    return spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(prints)], "node long, print binary")
+
+
+def slow_wide_components(prints, max_distance):
+    """Components of the pairs that share one of 32 blocks and lie within the distance."""
+    label = list(range(len(prints)))
+    blocks = prints.view(np.uint16)
+    for i in range(len(prints)):
+        for j in range(i):
+            if (blocks[i] == blocks[j]).any() and int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= max_distance and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return dict(enumerate(label))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_link_of_a_crowded_key_is_lost_to_another_or_to_a_representative(spark, seed):
+    rng, random_ = random.Random(seed), np.random.default_rng(seed)
+    rows = []
+    for _ in range(12):  # chains whose ends are too far apart: a~b share one crowded block, b~c another
+        b = random_.integers(0, 1 << 63, 8, dtype=np.uint64)
+        b.view(np.uint16)[:2] = 7, 9
+        a, c = b.copy(), b.copy()
+        for other, block in ((a, 0), (c, 1)):
+            for i in range(32):
+                if i != block:
+                    other.view(np.uint16)[i] ^= np.uint16(sum(1 << x for x in rng.sample(range(16), 2)))
+        rows += [a, b, c]
+    for value, block in ((7, 0), (9, 1)):  # company by chance
+        for _ in range(30):
+            alone = random_.integers(0, 1 << 63, 8, dtype=np.uint64)
+            alone.view(np.uint16)[block] = value
+            rows.append(alone)
+    prints = np.array(rows)
+    links = simhash.links_by_block(wide_nodes(spark, prints), 8, 32, 88, group_rows=8)
+    found = {r["node"]: r["component"] for r in graph.components(links).collect()}
+    want = slow_wide_components(prints, 88)
+    assert len(set(want.values())) == 12 + 60
+    assert {i: found.get(i, i) for i in want} == want
