@@ -228,3 +228,15 @@ def test_no_link_of_a_crowded_key_is_lost_to_another_or_to_a_representative(spar
     want = slow_wide_components(prints, 88)
     assert len(set(want.values())) == 12 + 60
     assert {i: found.get(i, i) for i in want} == want
+
+
+def test_pairs_whose_one_common_block_is_crowded_and_the_last(spark):
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 256, (80, 64), dtype=np.uint8)
+    others = [i for i in range(64) if i not in (15, 47)]  # block 47 is bytes 15 and 47
+    for i in range(1, 40, 2):  # 62 bits apart, and no other block in common
+        prints[i] = prints[i - 1]
+        prints[i, others] ^= np.uint8(1) << rng.integers(0, 8, 62).astype(np.uint8)
+    prints[:, [15, 47]] = 7
+    links = simhash.links_by_block(wide_nodes(spark, prints.view(np.uint64)), 8, 32, 88, group_rows=8, strided=16)
+    assert {tuple(sorted(r)) for r in links.collect()} == {(i - 1, i) for i in range(1, 40, 2)}
