@@ -17,8 +17,8 @@ so these groups are small by construction, and the result is the same.
 
 Edge cases: a null or empty text, or one of white space, has fingerprint zero
 and is linked like any other.  A text of fewer words than a shingle is one
-shingle.  Rows with a null identifier keep a null component unless their
-fingerprint's component holds an identifier.  Repeated rows repeat in the
+shingle.  Rows with a null identifier are linked like others; a component
+that holds no identifier at all has a null one.  Repeated rows repeat in the
 result.  An empty table gives no rows.  Extra columns are ignored.
 """
 
@@ -239,7 +239,7 @@ def links_within(nodes: DataFrame, max_distance: int = 2, blocks: int = 4, group
         raise ValueError("64-bit prints are linked at a distance of 1 or 2")
     agreeing = blocks - max_distance
     choices = F.posexplode(block_keys("print", 64, blocks, agreeing)).alias("choice", "key")
-    keyed = nodes.where("node is not null").select("node", "print", choices)
+    keyed = nodes.select("node", "print", choices)
     hot = settle(keyed.groupBy("key").count().where(F.col("count") > group_rows).select("key"))
     n_hot = hot.count()
     if not n_hot:
@@ -285,7 +285,7 @@ def links_by_block(nodes: DataFrame, lanes: int, blocks: int, max_distance: int,
     block = lambda i: F.concat(*[F.substring("print", at + 1, 1) for at in places[i]])
     whole = lambda i: F.conv(F.hex(block(i)), 16, 10).cast("long")
     keys = F.array(*[whole(i) * F.lit(len(places)) + F.lit(i) for i in range(len(places))])
-    keyed = nodes.where("node is not null").select("node", "print", F.explode(keys).alias("key"))
+    keyed = nodes.select("node", "print", F.explode(keys).alias("key"))
     linked = lambda rows: rows.repartition("key").sortWithinPartitions("key").mapInArrow(_within_keys(max_distance, lanes), "a long, b long")
     hot = settle(keyed.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > group_rows))
     n_hot = hot.count()
@@ -337,18 +337,34 @@ def near_duplicates(
     """One row per row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex digits a lane), component_id.
 
     With one lane the links are exact at ``max_distance``; with more, see
-    ``links_by_block``.  ``with_key`` adds ``row_key``.
+    ``links_by_block``.  ``with_key`` adds ``row_key`` and ``group``, which
+    tells components apart also where they hold no identifier.
     """
     prints = settle(fingerprints(docs, words, lanes, distinct, with_key))
-    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("node"))
+    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
+    # Identifiers serve as nodes where every row has one: a component's least node is its label then.
+    named = prints.where("doc_id is null").isEmpty()
+    if named:
+        nodes = firsts.select("print", F.col("first").alias("node"))
+    else:
+        nodes = settle(firsts.select("print", "first", F.monotonically_increasing_id().alias("node")))
     if lanes == 1:
-        links = links_within(nodes, max_distance, blocks, group_rows)
+        links = links_within(nodes.select("node", "print"), max_distance, blocks, group_rows)
     else:
-        links = links_by_block(nodes, lanes, blocks, max_distance, group_rows, strided)
+        links = links_by_block(nodes.select("node", "print"), lanes, blocks, max_distance, group_rows, strided)
+    if not named:  # fingerprints of one identifier are one node above, and linked here
+        same = F.min("node").over(Window.partitionBy("first")).alias("a")
+        links = links.unionByName(nodes.where("first is not null").select(same, F.col("node").alias("b")))
     found = components(links)
-    owners = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
+    owners = nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    if named:
+        owners = owners.select("print", "group", F.col("group").alias("component_id"))
+    else:
+        # Fingerprints alone in their component, the most of them, need no label from elsewhere.
+        labels = owners.where("component is not null").groupBy("component").agg(F.min("first").alias("label"))
+        owners = owners.join(labels, "component", "left").select("print", "group", F.coalesce("label", "first").alias("component_id"))
     shown = F.lower(F.lpad(F.hex("print"), 16, "0")) if lanes == 1 else F.lower(F.hex("print"))
-    return prints.join(owners, "print").select("doc_id", shown.alias("fingerprint"), "component_id", *["row_key"] * with_key)
+    return prints.join(owners, "print").select("doc_id", shown.alias("fingerprint"), "component_id", *["row_key", "group"] * with_key)
 
 
 #: Fingerprints for a Jaccard similarity of 0.8 on five-word shingles.  Two such texts' shingle vectors have a cosine
@@ -361,12 +377,11 @@ def keep_one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """One row of each component of ``docs``, with all its columns: the one with the smallest identifier.
 
     Where rows with that identifier differ in text, one of them stays.  Rows
-    without an identifier go where their component has one; else one row of
-    each fingerprint stays.
+    without an identifier go where their component has one; of a component
+    of such rows only, one row stays.
     """
     found = near_duplicates(docs, **{**SIMILAR, **parameters}, with_key=True)
-    alone = F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")
-    firsts = found.where("component_id is null or doc_id = component_id").groupBy("component_id", alone).agg(F.min("row_key").alias("row_key"))
+    firsts = found.where("component_id is null or doc_id = component_id").groupBy("group", "component_id").agg(F.min("row_key").alias("row_key"))
     kept = firsts.select(row_name(F.col("component_id"), F.col("row_key")).alias("_name"))
     rows = docs.select(F.struct("*").alias("_row"), row_name(F.col("doc_id").cast("long"), row_key()).alias("_name"))
     # Rows that repeat share a name; the join's partitioning serves to drop them, too.

@@ -240,3 +240,22 @@ def test_pairs_whose_one_common_block_is_crowded_and_the_last(spark):
     prints[:, [15, 47]] = 7
     links = simhash.links_by_block(wide_nodes(spark, prints.view(np.uint64)), 8, 32, 88, group_rows=8, strided=16)
     assert {tuple(sorted(r)) for r in links.collect()} == {(i - 1, i) for i in range(1, 40, 2)}
+
+
+def test_rows_without_identifier_link_and_bridge(spark):
+    base = 0x0123456789ABCDEF
+    bridge = [(5, base), (None, base ^ 3), (9, base ^ 15), (None, ~base), (None, ~base ^ 1)]
+    text = {p: i for i, (_, p) in enumerate(bridge)}
+    made = spark.createDataFrame(bridge, "doc_id long, print long")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash, "fingerprints", lambda *_: made)
+        got = {text[int(r["fingerprint"], 16) - (1 << 64) * (int(r["fingerprint"], 16) >> 63)]: r["component_id"] for r in simhash.near_duplicates(made).collect()}
+    assert got == {0: 5, 1: 5, 2: 5, 3: None, 4: None}
+
+
+def test_near_copies_without_identifier_leave_one(spark):
+    rng = random.Random(11)
+    one, two = (rng.choices(WORDS, k=300) for _ in range(2))
+    rows = [(None, " ".join(near_copy(rng, one, 2))) for _ in range(4)] + [(None, " ".join(near_copy(rng, two, 2))) for _ in range(3)] + [(8, " ".join(two))]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["8", "None"]
