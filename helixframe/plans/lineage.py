@@ -24,8 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage."""
+    """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage.
+
+    The result starts a plan of its own.  What ``checkpoint`` returns still
+    carries the constraints that the optimizer derived for ``df``; in loops of
+    joins these multiply until planning takes longer than running.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)._jdf
+    spark = df.sparkSession
+    rows = written.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, written.schema(), False), spark)
