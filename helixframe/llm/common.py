@@ -21,7 +21,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    """The text, empty where it is null; bytes that are not UTF-8 become U+FFFD, so that Python can read every text."""
+    return F.coalesce(F.make_valid_utf8(F.col(column).cast("string")), F.lit(""))
 
 
 def row_key() -> Column:
@@ -34,6 +35,35 @@ def row_name(doc_id: Column, key: Column) -> Column:
     return F.concat_ws(":", doc_id.cast("string"), key.cast("string"))
 
 
+#: Keys that ``look_up`` sends to all tasks: no more than this, whatever the tables' sizes.
+HOT_KEYS = 1000
+
+
+def look_up(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key of ``on`` once, without gathering a frequent key's rows.
+
+    The ``HOT_KEYS`` keys with the most rows are joined by broadcast, and their
+    rows dealt out evenly; any other key has less than a thousandth of the rows.
+    ``counts`` may give the keys' numbers of rows, or bounds on them, as ``_n``.
+    ``how`` is inner or left.  ``table`` is read twice, so it should be settled.
+    """
+    values = [c for c in table.columns if c not in on]
+    if counts is None:
+        counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
+    top = counts.where("_n >= 32").orderBy(F.desc("_n"), *on).limit(HOT_KEYS).select(*on)
+    hot = table.join(F.broadcast(top), on).select(*[F.col(c).alias(f"_on_{c}") for c in on], F.struct(F.lit(True), *values).alias("_hot"))
+    same = [F.col(c) == F.col(f"_on_{c}") for c in on]
+    marked = rows.join(F.broadcast(hot), same, "left").select(*rows.columns, "_hot")
+    # A frequent key's rows have found their match: a salt that the table lacks spreads them.
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(8191)) + 1)
+    cold = table.select(*[F.col(c).alias(f"_on_{c}") for c in on], F.lit(0).cast("long").alias("_of"), F.struct(F.lit(True), *values).alias("_cold"))
+    joined = marked.withColumn("_salt", salt.cast("long")).join(cold, [*same, F.col("_salt") == F.col("_of")], "left")
+    joined = joined.withColumn("_got", F.coalesce("_hot", "_cold"))
+    if how == "inner":
+        joined = joined.where("_got is not null")
+    return joined.select(*rows.columns, *[F.col("_got")[c].alias(c) for c in values])
+
+
 def hash_share(column: str, seed: int = 0) -> Column:
     """A long in [0, 2**32) that depends on the column's value and the seed alone."""
     return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1 << 32))

@@ -5,35 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import settle
+from helixframe.llm.common import look_up, settle
 
 
-def components(links: DataFrame) -> DataFrame:
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _parents(edges: DataFrame, step: int) -> DataFrame:
+    """(v, p, n): for each node a node of its component that stands for it, and its number of edges.
+
+    Every node takes its edge of least random weight.  These edges are trees
+    but for pairs that took the same edge, of which the smaller node becomes the
+    root; then every node goes up to its parent's parent.
+    """
+    weight = F.xxhash64(F.lit(step), "a", "b")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("o")), F.struct(F.col("b").alias("v"), F.col("a").alias("o")))).alias("x")
+    taken = edges.select(weight.alias("w"), ends).groupBy(F.col("x.v").alias("v"))
+    chosen = settle(taken.agg(F.min_by("x.o", F.struct("w", "x.o")).alias("p"), F.count("*").alias("n")))
+    up = lambda table: table.select(F.col("v").alias("p"), F.col("p").alias("q"))
+    root = (F.col("q") == F.col("v")) & (F.col("v") < F.col("p"))
+    rooted = settle(look_up(chosen, up(chosen), ["p"]).select("v", F.when(root, F.col("v")).otherwise(F.col("p")).alias("p"), "n"))
+    return settle(look_up(rooted, up(rooted), ["p"]).select("v", F.col("q").alias("p"), "n"))
+
+
+def components(links: DataFrame, smallest: bool = True) -> DataFrame:
     """(node, component) for every node of ``links(a long, b long)``.
 
-    ``component`` is the smallest node reachable.  Each round every node takes
-    the least label among its neighbours' labels' labels, and hands it to its
-    own old label too, so labels travel along trees as well as links and the
-    rounds grow with the logarithm of the diameter.  Only labels move; all
-    steps are joins and partially aggregated minima.  Nulls and self-links are
-    ignored; no links give no rows.
+    ``component`` is the smallest node reachable, or any one of them without ``smallest``.  Each step contracts the
+    graph: nodes that took an edge to each other become one, and what is left
+    are the edges between different ones, once each, so edges shrink from step
+    to step.  The steps' tables are then followed from the last to the first.
+    A node with very many edges, or children, is joined by ``look_up``, so it
+    fills no task.  Nulls and self-links are ignored; no links give no rows.
     """
-    # Settled before it is turned round: a search that depends on the order of rows may give other links the next time,
-    # and every link must be there in both directions.
-    both = settle(links.where("a is not null and b is not null and a <> b").select("a", "b"))
-    edges = settle(both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("f")))
-    before = None
-    while True:
-        total = labels.agg(F.sum(F.col("f").cast("decimal(38,0)"))).first()[0]
-        if total == before:
-            return labels.select("node", F.col("f").alias("component"))
-        before = total
-        up = labels.select(F.col("node").alias("_n"), F.col("f").alias("g"))
-        jumped = labels.join(up, labels["f"] == up["_n"]).select("node", "f", "g")
-        near = (
-            edges.join(jumped.select(F.col("node").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("m"))
-        )
-        seen = jumped.join(near, jumped["node"] == near["a"]).select("node", "f", F.least("g", "m").alias("l"))
-        offers = seen.select(F.explode(F.array(F.struct("node", F.col("l").alias("f")), F.struct(F.col("f").alias("node"), F.col("l").alias("f")))).alias("x"))
-        labels = settle(offers.select("x.node", "x.f").groupBy("node").agg(F.min("f").alias("f")))
+    # Settled before anything reads it twice: a search that depends on the order of rows may give other links the next time.
+    edges = settle(links.where("a is not null and b is not null and a <> b").select(*_ordered("a", "b")).distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    steps = []
+    while not edges.isEmpty():
+        steps.append(_parents(edges, len(steps)))
+        counts = steps[-1].select("v", F.col("n").alias("_n"))
+        for end in ("a", "b"):
+            table = steps[-1].select(F.col("v").alias(end), F.col("p").alias("_p"))
+            moved = look_up(edges, table, [end], counts=counts.withColumnRenamed("v", end))
+            edges = moved.select(*[F.col("_p").alias(end) if c == end else c for c in ("a", "b")])
+        edges = settle(edges.where("a <> b").select(*_ordered("a", "b")).distinct())
+    found = steps.pop().select("v", "p")
+    for table in reversed(steps):
+        up = found.select(F.col("v").alias("p"), F.col("p").alias("_top"))
+        found = settle(look_up(table.select("v", "p"), up, ["p"], "left").select("v", F.coalesce("_top", "p").alias("p")))
+    if not smallest:
+        return found.select(F.col("v").alias("node"), F.col("p").alias("component"))
+    least = settle(found.groupBy("p").agg(F.min("v").alias("component"), F.count("*").alias("_n")))
+    named = look_up(found, least.select("p", "component"), ["p"], counts=least.select("p", "_n"))
+    return settle(named.select(F.col("v").alias("node"), "component"))

@@ -24,6 +24,7 @@ result.  An empty table gives no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import in_slices, row_key, row_name, settle, text_or_empty
+from helixframe.llm.common import in_slices, look_up, row_key, row_name, settle, text_or_empty
 from helixframe.llm.graph import components
 
 #: Members of a key that one task compares; larger keys take the other way.
@@ -108,24 +109,29 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool
     return source.mapInArrow(_fingerprints(words, lanes, distinct), f"doc_id long, {'row_key long, ' * with_key}print {kind}")
 
 
-def linked_members(prints: np.ndarray, max_distance: int) -> list[tuple[int, int]]:
+def linked_members(prints: np.ndarray, max_distance: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the graph that links rows of ``prints`` at ``max_distance`` or less.
 
     Each row that a search reaches leaves the list of rows still to reach, so
-    a dense group costs about one scan, and links are fewer than rows.
+    a dense group costs about one scan, and links are fewer than rows.  Rows of
+    one label count as linked already: they are reached together, by one link.
     """
     links: list[tuple[int, int]] = []
     rest = np.arange(len(prints))
+    if labels is None:
+        labels = rest
     while len(rest):
-        frontier, rest = [int(rest[0])], rest[1:]
+        own = labels[rest] == labels[rest[0]]
+        frontier, rest = rest[own].tolist(), rest[~own]
         while frontier and len(rest):
             i = frontier.pop()
             close = np.bitwise_count(prints[rest] ^ prints[i]).sum(axis=1, dtype=np.int32) <= max_distance
             if close.any():
-                reached = rest[close]
-                links += [(i, int(j)) for j in reached]
-                frontier += reached.tolist()
-                rest = rest[~close]
+                met, first = np.unique(labels[rest[close]], return_index=True)
+                links += [(i, int(j)) for j in rest[close][first]]
+                reached = np.isin(labels[rest], met)
+                frontier += rest[reached].tolist()
+                rest = rest[~reached]
     return links
 
 
@@ -153,7 +159,7 @@ _SWEEP = 32
 
 
 def _links_of(nodes: np.ndarray, prints: np.ndarray, cuts: np.ndarray, max_distance: int) -> np.ndarray:
-    """A spanning forest of the links within each run ``cuts[i]:cuts[i+1]`` of rows."""
+    """A spanning forest of the links within each run ``cuts[i]:cuts[i+1]`` of rows; rows of one node are linked already."""
     sizes = np.diff(cuts)
     group = np.repeat(np.arange(len(sizes)), sizes)
     small = np.repeat((sizes > 1) & (sizes <= _SWEEP), sizes)
@@ -164,12 +170,14 @@ def _links_of(nodes: np.ndarray, prints: np.ndarray, cuts: np.ndarray, max_dista
         if not len(left):
             break
         a, b = rows[left], rows[left + step]
+        apart = nodes[a] != nodes[b]
+        a, b = a[apart], b[apart]
         close = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int32) <= max_distance
         found.append(np.stack([nodes[a[close]], nodes[b[close]]], axis=1))
     for i in np.flatnonzero(sizes > _SWEEP).tolist():
-        at = cuts[i]
-        links = linked_members(prints[at : cuts[i + 1]], max_distance)
-        found.append(np.array([(nodes[at + x], nodes[at + y]) for x, y in links], dtype=np.int64).reshape(-1, 2))
+        own = slice(cuts[i], cuts[i + 1])
+        links = linked_members(prints[own], max_distance, nodes[own])
+        found.append(nodes[own][np.array(links, dtype=np.int64).reshape(-1, 2)])
     return forest(np.concatenate(found)) if found else np.empty((0, 2), dtype=np.int64)
 
 
@@ -262,67 +270,179 @@ def links_within(nodes: DataFrame, max_distance: int = 2, blocks: int = 4, group
     return links.unionByName(met.select("a", F.explode("members").alias("b")).where("a <> b"))
 
 
+def block_bits(lanes: int, width: int, count: int) -> np.ndarray:
+    """The bits of each of ``count`` blocks, ``width`` a block, as rows of positions in the print.
+
+    Blocks are runs of the bits in order, then runs of the bytes of both halves
+    in turn, then runs of the bits in steps of further odd numbers.
+    """
+    bits, rows, split = 64 * lanes, [], 0
+    while len(rows) < count:
+        if split == 0:
+            order = np.arange(bits)
+        elif split == 1:
+            order = np.arange(bits).reshape(2, -1, 8).transpose(1, 0, 2).ravel()
+        else:
+            order = np.arange(bits) * (74 * split + 1) % bits
+        rows += [order[at : at + width] for at in range(0, bits - width + 1, width)]
+        split += 1
+    return np.array(rows[:count])
+
+
+def _keys_of(prints: list[bytes], places: np.ndarray, numbers: list[int], total: int) -> np.ndarray:
+    """A row of keys for each print: a block's bits, and its number among ``total``."""
+    bits = np.unpackbits(np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    keys = np.zeros((len(prints), len(numbers)), dtype=np.int64)
+    for at in range(places.shape[1]):
+        keys |= bits[:, places[numbers, at]].astype(np.int64) << at
+    return keys * total + np.array(numbers)
+
+
+#: Prints whose keys are in memory at a time.
+_PRINTS = 2048
+
+
+def _deal(places: np.ndarray, numbers: list[int], counts: bool):
+    """Each print once for each of the blocks ``numbers``, or the blocks' keys with their numbers of prints alone."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _PRINTS):
+                part = batch.slice(at, _PRINTS)
+                keys = _keys_of(part.column("print").to_pylist(), places, numbers, len(places))
+                if counts:
+                    key, n = np.unique(keys, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+                    continue
+                rows = pa.array(np.repeat(np.arange(part.num_rows), len(numbers)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("node").take(rows), part.column("print").take(rows)], ["key", "node", "print"])
+
+    return work
+
+
+def _rounds(count: int) -> list[list[int]]:
+    """The blocks in rounds: two, some more, and the rest, which then find most of their members connected."""
+    cuts = sorted({0, min(2, count), min(12, count), count})
+    return [list(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+class _Blocks:
+    """Components of ``nodes(node, print)`` that grow as links are found; see ``links_by_block``."""
+
+    def __init__(self, nodes: DataFrame, lanes: int, places: np.ndarray, max_distance: int, group_rows: int) -> None:
+        self.state = settle(nodes.select("node", "print", F.col("node").alias("component")))
+        self.lanes, self.places, self.max_distance, self.group_rows = lanes, places, max_distance, group_rows
+        self.links: list[DataFrame] = []
+
+    def keyed(self, numbers: list[int]) -> DataFrame:
+        return self.state.select(F.col("component").alias("node"), "print").mapInArrow(_deal(self.places, numbers, False), "key long, node long, print binary")
+
+    def crowded(self, numbers: list[int]) -> DataFrame | None:
+        """(key, members) of the keys with more than ``group_rows`` prints."""
+        counts = self.state.select("print").mapInArrow(_deal(self.places, numbers, True), "key long, n long")
+        found = settle(counts.groupBy("key").agg(F.sum("n").alias("members")).where(F.col("members") > self.group_rows))
+        return None if found.isEmpty() else found
+
+    def link(self, keyed: DataFrame) -> None:
+        """Compare ``keyed(key, node, print)`` within keys and join what is linked."""
+        dealt = keyed.select("key", "node", "print").repartition("key").sortWithinPartitions("key")
+        links = settle(dealt.mapInArrow(_within_keys(self.max_distance, self.lanes), "a long, b long"))
+        self.links.append(links)
+        found = components(links, smallest=False).select(F.col("node").alias("component"), F.col("component").alias("_new"))
+        if not found.isEmpty():
+            moved = look_up(self.state, found, ["component"], "left")
+            self.state = settle(moved.select("node", "print", F.coalesce("_new", "component").alias("component")))
+
+    def run(self) -> None:
+        total, full = len(self.places), []
+        for numbers in _rounds(total):
+            keyed, hot = self.keyed(numbers), self.crowded(numbers)
+            if hot is not None:
+                full.append(hot)
+                part = F.pmod(F.xxhash64("node", "print"), F.ceil(F.col("members") / F.lit(self.group_rows / 2)))
+                keyed = look_up(keyed, hot, ["key"], "left", counts=hot.select("key", F.col("members").alias("_n")))
+                keyed = keyed.withColumn("key", F.when(F.col("members").isNull(), F.col("key")).otherwise(F.xxhash64("key", part)))
+            self.link(keyed)
+        if full:
+            hot = full[0]
+            for more in full[1:]:
+                hot = hot.unionByName(more)
+            numbers = sorted(r[0] for r in hot.select(F.pmod("key", F.lit(total)).cast("int")).distinct().collect())
+            crowded = look_up(self.keyed(numbers), hot, ["key"], counts=hot.select("key", F.col("members").alias("_n")))
+            self.link(_part_pairs(settle(crowded.select("key", "node", "print")), self.group_rows / 2))
+
+
+def _places(lanes: int, blocks: int, strided: int) -> np.ndarray:
+    width = 64 * lanes // blocks
+    if width * blocks != 64 * lanes or width + (blocks + strided).bit_length() > 62:
+        raise ValueError("blocks must divide the print, and a block and its number must fit 62 bits")
+    return block_bits(lanes, width, blocks + strided)
+
+
 def links_by_block(nodes: DataFrame, lanes: int, blocks: int, max_distance: int, group_rows: int = GROUP_ROWS, strided: int = 0) -> DataFrame:
-    """Links (a, b) between wide ``nodes(node, print)``, prints distinct, that share a block and lie within the distance.
+    """Links (a, b) that connect the wide ``nodes(node, print)``, prints distinct, that share a block and lie within the distance.
 
     At a distance as wide as a Jaccard similarity of 0.8 asks for, blocks that
     catch every pair would be a few bits long and useless; these are longer and
-    many, and a pair needs one of them in common.  ``strided`` blocks of a
-    second split, each made of bytes ``blocks`` apart, give a pair that much
-    more chance to.  Every pair within a key is compared, but for those that
-    other links connect already: a key with more than ``group_rows`` members is
-    dealt out at random in parts of half that size, each part is linked, and
-    then parts meet two at a time, unless one component fills both.  (Members
-    that are many and not alike cost the square of their number; blocks of log2
-    of the number of texts keep such company rare.)
+    many, and a pair needs one of them in common.  ``strided`` blocks of
+    further splits (see ``block_bits``) give a pair that much more chance to.
+
+    Blocks are taken in rounds.  After each, what is linked becomes one
+    component, and from then on a key links components and not prints, so the
+    links of a dense group are about as many as its members, however many
+    blocks they share.  Every pair within a key is compared, but for those that
+    are connected already: a key with more than ``group_rows`` members is dealt
+    out at random in parts of half that size, and after the last round its
+    parts meet two at a time, unless one component fills both.  So the result
+    does not depend on ``group_rows``.
     """
-    size = 8 * lanes // blocks
-    if size * blocks != 8 * lanes or size > 7:
-        raise ValueError("a block must be a whole number of bytes, 7 at most")
-    if not 0 <= strided <= blocks or blocks + strided > 128:
-        raise ValueError("a split has so many blocks at most, and both have 128")
-    places = [range(i * size, (i + 1) * size) for i in range(blocks)] + [range(i, size * blocks, blocks) for i in range(strided)]
-    block = lambda i: F.concat(*[F.substring("print", at + 1, 1) for at in places[i]])
-    whole = lambda i: F.conv(F.hex(block(i)), 16, 10).cast("long")
-    keys = F.array(*[whole(i) * F.lit(len(places)) + F.lit(i) for i in range(len(places))])
-    keyed = nodes.select("node", "print", F.explode(keys).alias("key"))
-    linked = lambda rows: rows.repartition("key").sortWithinPartitions("key").mapInArrow(_within_keys(max_distance, lanes), "a long, b long")
-    hot = settle(keyed.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > group_rows))
-    n_hot = hot.count()
-    if not n_hot:
-        return linked(keyed.select("key", "node", "print"))
-    hot = F.broadcast(hot) if n_hot <= 100_000 else hot
-    usual = linked(keyed.join(hot, "key", "left_anti").select("key", "node", "print"))
-    part = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("members") / F.lit(group_rows / 2)))
-    crowded = settle(keyed.join(hot, "key").select(F.col("key").alias("home"), F.xxhash64("key", part).alias("key"), "node", "print"))
-    inner = settle(linked(crowded.select("key", "node", "print")))
-    between = linked(_part_pairs(crowded.select(F.col("home").alias("key"), "node", "print"), components(inner), group_rows / 2))
-    return usual.unionByName(inner).unionByName(between)
+    found = _Blocks(nodes, lanes, _places(lanes, blocks, strided), max_distance, group_rows)
+    found.run()
+    links = found.links[0]
+    for more in found.links[1:]:
+        links = links.unionByName(more)
+    return links
 
 
-def _part_pairs(crowded: DataFrame, found: DataFrame, rows: float) -> DataFrame:
-    """``crowded(key, node, print)`` in parts of about ``rows``, once for each two parts of a key that are to meet.
+def _part_pairs(named: DataFrame, rows: float) -> DataFrame:
+    """``named(key, node, print)``, node being a component, in parts of about ``rows``, once for each two parts of a key that are to meet.
 
-    A component of ``found`` that fills a part has parts of its own, which need
-    not meet each other; all other members of a key share the rest.
+    A component that fills a part has parts of its own, which need not meet
+    each other; all other members of a key share the rest.
     """
-    named = settle(crowded.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"), "node", "print"))
-    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    owners = sizes.groupBy("key", F.when(F.col("n") >= rows, F.col("component")).alias("owner")).agg(F.ceil(F.sum("n") / F.lit(rows)).alias("parts"))
+    sizes = named.groupBy("key", "node").agg(F.count("*").alias("n"))
+    owner = F.when(F.col("n") >= rows, F.col("node")).alias("owner")
+    owners = sizes.groupBy("key", owner).agg(F.ceil(F.sum("n") / F.lit(rows)).alias("parts"), F.sum("n").alias("n"))
     of_key = Window.partitionBy("key")
-    owners = settle(owners.select("key", "owner", "parts", F.sum("parts").over(of_key).alias("total"), F.sum("parts").over(of_key.orderBy("owner")).alias("end")))
-    own = owners.where("owner is not null").withColumnRenamed("owner", "component")
-    rest = owners.where("owner is null").select("key", *[F.col(c).alias(f"_{c}") for c in ("parts", "total", "end")])
-    dealt = named.join(F.broadcast(own), ["key", "component"], "left").join(F.broadcast(rest), "key", "left")
-    parts, total, end = (F.coalesce(c, f"_{c}") for c in ("parts", "total", "end"))
+    owners = settle(owners.select("key", "owner", "parts", "n", F.sum("parts").over(of_key).alias("total"), F.sum("parts").over(of_key.orderBy("owner")).alias("end")))
+    names = ("parts", "total", "end")
+    own = owners.where("owner is not null").select("key", F.col("owner").alias("node"), *names, F.col("n").alias("_n"))
+    rest = owners.where("owner is null").select("key", *[F.col(c).alias(f"rest_{c}") for c in names], F.col("n").alias("_n"))
+    dealt = look_up(named, own.drop("_n"), ["key", "node"], "left", counts=own.select("key", "node", "_n"))
+    dealt = look_up(dealt, rest.drop("_n"), ["key"], "left", counts=rest.select("key", "_n"))
+    parts, total, end = (F.coalesce(c, f"rest_{c}") for c in names)
     dealt = dealt.select("key", "node", "print", F.col("parts").isNotNull().alias("owned"), total.alias("total"), end.alias("end"), (end - parts).alias("first"))
-    dealt = dealt.withColumn("part", F.col("first") + F.pmod(F.xxhash64(F.lit(1), "key", "node"), F.col("end") - F.col("first")))
+    dealt = dealt.withColumn("part", F.col("first") + F.pmod(F.xxhash64(F.lit(1), "key", "print"), F.col("end") - F.col("first")))
     meets = lambda p: (p != F.col("part")) & (~F.col("owned") | (p < F.col("first")) | (p >= F.col("end")))
     met = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), meets)).alias("other")
     pairs = dealt.select("key", "part", "node", "print", met)
     return pairs.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "node", "print")
 
 
+#: Members that a block's keys should have on average, at most: a corpus beyond that takes wider blocks.
+MEMBERS = 512
+#: Chance that two prints at a similarity of 0.8 agree in a bit, less a little for the bits that blocks of many splits share.
+AGREE = 0.835
+
+
+def blocks_for(texts: int, lanes: int, blocks: int, strided: int, members: int = MEMBERS) -> np.ndarray:
+    """Blocks for so many texts: a bit wider each time the texts double beyond what the given ones hold, and as many more
+    as keep a similar pair's chance to share one."""
+    places = _places(lanes, blocks, strided)
+    width = max(places.shape[1], math.ceil(math.log2(max(texts, 1) / members)))
+    return block_bits(lanes, width, math.ceil(len(places) * AGREE ** (places.shape[1] - width)))
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 3,
@@ -333,6 +453,7 @@ def near_duplicates(
     group_rows: int = GROUP_ROWS,
     strided: int = 0,
     with_key: bool = False,
+    members: int = MEMBERS,
 ) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex digits a lane), component_id.
 
@@ -341,30 +462,33 @@ def near_duplicates(
     tells components apart also where they hold no identifier.
     """
     prints = settle(fingerprints(docs, words, lanes, distinct, with_key))
-    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    # Identifiers serve as nodes where every row has one: a component's least node is its label then.
-    named = prints.where("doc_id is null").isEmpty()
-    if named:
-        nodes = firsts.select("print", F.col("first").alias("node"))
-    else:
-        nodes = settle(firsts.select("print", "first", F.monotonically_increasing_id().alias("node")))
+    # Nodes are numbers of their own, so rows without an identifier link like others.
+    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n"))
+    nodes = settle(firsts.withColumn("node", F.monotonically_increasing_id()))
     if lanes == 1:
-        links = links_within(nodes.select("node", "print"), max_distance, blocks, group_rows)
-    else:
-        links = links_by_block(nodes.select("node", "print"), lanes, blocks, max_distance, group_rows, strided)
-    if not named:  # fingerprints of one identifier are one node above, and linked here
-        same = F.min("node").over(Window.partitionBy("first")).alias("a")
-        links = links.unionByName(nodes.where("first is not null").select(same, F.col("node").alias("b")))
-    found = components(links)
-    owners = nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    if named:
-        owners = owners.select("print", "group", F.col("group").alias("component_id"))
+        links, known = links_within(nodes.select("node", "print"), max_distance, blocks, group_rows), None
     else:
-        # Fingerprints alone in their component, the most of them, need no label from elsewhere.
-        labels = owners.where("component is not null").groupBy("component").agg(F.min("first").alias("label"))
-        owners = owners.join(labels, "component", "left").select("print", "group", F.coalesce("label", "first").alias("component_id"))
+        found = _Blocks(nodes.select("node", "print"), lanes, blocks_for(nodes.count(), lanes, blocks, strided, members), max_distance, group_rows)
+        found.run()
+        links = found.state.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        known = found.state.select("node", F.col("component").alias("group"))
+    # An identifier that several fingerprints share links them.
+    shared = nodes.where("first is not null").groupBy("first").agg(F.min("node").alias("a"), F.count("*").alias("_n")).where("_n > 1")
+    if not shared.isEmpty():
+        shared = settle(shared)
+        again = look_up(nodes.select("first", F.col("node").alias("b")), shared.select("first", "a"), ["first"], counts=shared.select("first", "_n"))
+        links, known = links.unionByName(again.select("a", "b")), None
+    if known is None:
+        known = components(links, smallest=False).withColumnRenamed("component", "group")
+    joined = settle(nodes.join(known, "node", "left"))
+    # Fingerprints alone in their component, the most of them, need no label from elsewhere.
+    groups = settle(joined.where("group is not null").groupBy("group").agg(F.min("first").alias("label"), F.count("*").alias("_members")))
+    many = groups.select("group", F.col("_members").alias("_n"))
+    owners = look_up(joined, groups.select("group", "label"), ["group"], "left", counts=many)
+    owners = settle(owners.select("print", F.coalesce("group", "node").alias("group"), F.coalesce("label", "first").alias("component_id"), "_n"))
+    rows = look_up(prints, owners.drop("_n"), ["print"], counts=owners.select("print", "_n"))
     shown = F.lower(F.lpad(F.hex("print"), 16, "0")) if lanes == 1 else F.lower(F.hex("print"))
-    return prints.join(owners, "print").select("doc_id", shown.alias("fingerprint"), "component_id", *["row_key", "group"] * with_key)
+    return rows.select("doc_id", shown.alias("fingerprint"), "component_id", *["row_key", "group"] * with_key)
 
 
 #: Fingerprints for a Jaccard similarity of 0.8 on five-word shingles.  Two such texts' shingle vectors have a cosine
