@@ -1,21 +1,23 @@
 """Exact deduplication by content sort.
 
 Texts are equal when they are identical after each run of white space becomes
-one space.  Rows are range-partitioned by sampled splitters on the normalised
-text's first bytes, its digest and the identifier, and sorted in that order
-with Spark's spilling sort, so equal texts are neighbours.  One pass per
-partition compares each normalised text in full with the one before it.  The
-identifier belongs to the splitter key, so a text that fills a third of the
-table is spread over many partitions; the group at each end of a partition is
-then joined with its continuation through a table of at most two rows per
-partition.
-
-The splitter key has a bounded length, so what the driver samples does not grow
-with the texts.
-
-Edge cases: a null text counts as empty and equals other empty texts.  A null
-identifier ranks after every other one.  Of rows that repeat identifier and
-text, one stays.  An empty table gives no rows.  Extra columns are ignored.
+one space.  Rows are range-partitioned by sampled splitters and sorted within
+each partition by the whole normalised text and the identifier, with Spark's
+spilling sort, so equal texts are neighbours.  One pass per partition compares
+each normalised text in full with the one before it.  The splitter key is a
+text's first ``HEAD_CHARS`` characters, its digest and the identifier: of
+bounded length, so what the driver samples does not grow with the texts, and
+with the identifier in it, so a text that fills a third of the table is spread
+over many partitions.
+
+Only the texts with the least and the greatest splitter key of a partition can
+go on in another one.  Each partition names these two with their texts; those
+that are equal in full are one group.
+
+Edge cases: a null text counts as empty and equals other empty texts; bytes that
+are not UTF-8 count as U+FFFD.  A null identifier ranks after every other one.
+Of rows that repeat identifier and text, one stays.  An empty table gives no
+rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,46 +31,53 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import SPACES, settle, text_or_empty
+from helixframe.llm.common import SPACES, look_up, settle, text_or_empty
 
 #: Characters of the normalised text in the splitter key.
 HEAD_CHARS = 32
 
-_SCHEMA = "doc_id long, text_sha256 string, part int, first boolean, edge boolean, local_keep long, local_size long"
+_SCHEMA = "doc_id long, text_sha256 string, run long, first boolean, local_keep long, local_size long, end_text string"
+#: A run's number holds the task's partition above this many bits.
+_COUNTER_BITS = 33
+#: Rows that one output batch collects.
+_ROWS_OUT = 1 << 16
+#: Runs that go on in other partitions, two a partition at most and a few numbers each: so many are broadcast.
+_BROADCAST_ROWS = 100_000
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Close each run of equal neighbours; only identifiers of an open run are held."""
+    """Number the runs of equal neighbours; of an open run, only copied identifiers and one text are held."""
     context = TaskContext.get()
-    part = context.partitionId() if context else 0
+    number = (context.partitionId() if context else 0) << _COUNTER_BITS
     held: list[pa.Array] = []
-    digest: str | None = None
-    body: str | None = None
-    closed = 0
-
-    def close(last: bool) -> pa.RecordBatch:
-        nonlocal closed
-        ids = pa.concat_arrays(held)
-        n = len(ids)
-        edge = closed == 0 or last
-        closed += 1
+    body, digest = None, None
+    ends: dict[str, tuple] = {}
+    out: list[pa.RecordBatch] = []
+    waiting = 0
+
+    def close() -> None:
+        """The open run as rows, and as an end of the partition if none lies further out."""
+        nonlocal number, waiting
+        ids, key = pa.concat_arrays(held), (body[:HEAD_CHARS], digest)
+        keep, n = ids[0].as_py(), len(ids)
+        if not ends or key < ends["least"][0]:
+            ends["least"] = (key, number, keep, n, body)
+        if "most" not in ends or key > ends["most"][0]:
+            ends["most"] = (key, number, keep, n, body)
         first = np.zeros(n, dtype=bool)
         first[0] = True
-        fill = lambda value, kind: pa.array([value], kind).take(pa.array(np.zeros(n, dtype=np.int64)))
-        return pa.RecordBatch.from_arrays(
-            [
-                ids,
-                fill(digest, pa.string()),
-                fill(part, pa.int32()),
-                pa.array(first),
-                fill(edge, pa.bool_()),
-                fill(ids[0].as_py(), pa.int64()),
-                fill(n, pa.int64()),
-            ],
-            ["doc_id", "text_sha256", "part", "first", "edge", "local_keep", "local_size"],
-        )
+        one = lambda value, kind: pa.repeat(pa.scalar(value, kind), n)
+        values = [ids, one(digest, pa.string()), one(number, pa.int64()), pa.array(first), one(keep, pa.int64()), one(n, pa.int64()), one(None, pa.string())]
+        out.append(pa.RecordBatch.from_arrays(values, _NAMES))
+        number, waiting = number + 1, waiting + n
+
+    def flushed() -> pa.RecordBatch:
+        nonlocal waiting
+        made = pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+        out.clear()
+        waiting = 0
+        return made
 
-    out: list[pa.RecordBatch] = []
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -79,22 +88,26 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if n > 1:
             differs[1:] = pc.not_equal(texts.slice(1), texts.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(differs).tolist()
+        # Taken, not sliced: a slice would keep the whole batch with its texts.
+        copied = lambda a, b: ids.take(pa.array(np.arange(a, b)))
         if not cuts or cuts[0] > 0:
-            held.append(ids.slice(0, cuts[0] if cuts else n))
+            held.append(copied(0, cuts[0] if cuts else n))
         for i, at in enumerate(cuts):
             if held:
-                out.append(close(last=False))
-                held = []
-            digest = digests[at].as_py()
-            held.append(ids.slice(at, (cuts[i + 1] if i + 1 < len(cuts) else n) - at))
-        body = texts[n - 1].as_py()
-        if len(out) >= 4096:
-            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-            out = []
+                close()
+            body, digest, held = texts[at].as_py(), digests[at].as_py(), [copied(at, cuts[i + 1] if i + 1 < len(cuts) else n)]
+            if waiting >= _ROWS_OUT:
+                yield flushed()
     if held:
-        out.append(close(last=True))
-    if out:
-        yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+        close()
+        named = {e[1]: e for e in ends.values()}.values()
+        columns = zip(*[(None, key[1], run, False, keep, size, text) for key, run, keep, size, text in named], strict=True)
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
+        out.append(pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _NAMES))
+        yield flushed()
+
+
+_NAMES = [field.split()[0] for field in _SCHEMA.split(", ")]
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -106,26 +119,23 @@ def exact_groups(docs: DataFrame) -> DataFrame:
             "text_sha256": F.sha2(F.col("norm"), 256),
         }
     )
-    order = [F.col("head"), F.col("text_sha256"), F.col("doc_id").asc_nulls_last()]
-    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = settle(dealt.select("doc_id", "text_sha256", "norm").mapInArrow(_neighbours, _SCHEMA))
-
-    # At most two groups of each partition touch its ends, and only these can continue in another one.
-    ends = (
-        rows.where(F.col("edge") & F.col("first"))
-        .groupBy(F.col("text_sha256").alias("_sha"))
-        .agg(
-            F.sum("local_size").alias("_size"),
-            F.min_by("local_keep", "part").alias("_keep"),
-            F.min("part").alias("_part"),
-        )
-    )
-    joined = rows.join(F.broadcast(ends), (F.col("text_sha256") == F.col("_sha")) & F.col("edge"), "left")
-    return joined.select(
+    order = F.col("doc_id").asc_nulls_last()
+    dealt = keyed.repartitionByRange("head", "text_sha256", order).sortWithinPartitions("norm", order)
+    made = settle(dealt.select("doc_id", "text_sha256", "norm").mapInArrow(_neighbours, _SCHEMA))
+
+    ends = made.where("end_text is not null").groupBy("end_text")
+    ends = ends.agg(F.sum("local_size").alias("size"), F.min_by("local_keep", "run").alias("keep"), F.min("run").alias("start"), F.collect_list("run").alias("runs"))
+    longer = settle(ends.where(F.size("runs") > 1).select(F.explode("runs").alias("run"), "size", "keep", "start"))
+    rows = made.where("end_text is null")
+    if longer.count() <= _BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(longer), "run", "left")
+    else:
+        rows = look_up(rows, longer, ["run"], "left")
+    return rows.select(
         "doc_id",
-        F.when(F.col("_part").isNull(), F.col("local_keep")).otherwise(F.col("_keep")).alias("keep_id"),
-        F.coalesce("_size", "local_size").alias("group_size"),
-        (F.col("first") & (F.col("_part").isNull() | (F.col("_part") == F.col("part")))).alias("kept"),
+        F.when(F.col("start").isNull(), F.col("local_keep")).otherwise(F.col("keep")).alias("keep_id"),
+        F.coalesce("size", "local_size").alias("group_size"),
+        (F.col("first") & (F.col("start").isNull() | (F.col("start") == F.col("run")))).alias("kept"),
         "text_sha256",
     )
 

@@ -259,3 +259,83 @@ def test_near_copies_without_identifier_leave_one(spark):
     rows = [(None, " ".join(near_copy(rng, one, 2))) for _ in range(4)] + [(None, " ".join(near_copy(rng, two, 2))) for _ in range(3)] + [(8, " ".join(two))]
     kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["8", "None"]
+
+
+def wide_chain(rng, length, bits):
+    """Prints of which neighbours differ in so many bits, all outside block 0, in which they agree; others are further apart."""
+    rows = [rng.integers(0, 256, 64, dtype=np.uint8)]
+    for i in range(length - 1):
+        flips = np.zeros(512, dtype=np.uint8)
+        flips[16 + (np.arange(bits) * 7 + i * 97) % 496] = 1
+        rows.append(rows[-1] ^ np.packbits(flips, bitorder="little"))
+    return np.array(rows).view(np.uint64)
+
+
+@pytest.mark.parametrize("group_rows", [64, 4096])
+def test_a_chain_in_one_crowded_block_stays_whole(spark, group_rows):
+    prints = wide_chain(np.random.default_rng(6), 200, 62)
+    links = simhash.links_by_block(wide_nodes(spark, prints), 8, 32, 88, group_rows=group_rows)
+    found = {r["node"]: r["component"] for r in graph.components(links).collect()}
+    assert found == dict.fromkeys(range(200), 0)
+
+
+@pytest.mark.parametrize("group_rows", [64, 4096])
+def test_links_of_many_near_copies_are_about_as_many_as_the_copies(spark, group_rows):
+    rng = np.random.default_rng(7)
+    flips = np.packbits(rng.random((2000, 512)) < 0.05, axis=1, bitorder="little")
+    prints = np.ascontiguousarray(flips ^ rng.integers(0, 256, 64, dtype=np.uint8)).view(np.uint64)
+    links = simhash.links_by_block(wide_nodes(spark, prints), 8, 32, 88, group_rows=group_rows, strided=16).collect()
+    assert len(links) <= 2 * len(prints)
+    label = list(range(len(prints)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in links:
+        label[max(top(a), top(b))] = min(top(a), top(b))
+    assert {top(i) for i in range(len(prints))} == {0}
+
+
+def test_wider_blocks_find_as_many_pairs():
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 256, (4000, 64), dtype=np.uint8)
+    b = a ^ np.packbits(rng.random((4000, 512)) < 0.15, axis=1, bitorder="little")
+    shared = {}
+    for texts in (1, 1 << 30, 1 << 36):
+        places = simhash.blocks_for(texts, 8, 32, 16)
+        numbers = list(range(len(places)))
+        x, y = (simhash._keys_of([p.tobytes() for p in side], places, numbers, len(places)) for side in (a, b))
+        shared[len(places[0])] = float((x == y).any(axis=1).mean())
+    assert set(shared) == {16, 21, 27} and min(shared.values()) > 0.93 and max(shared.values()) - min(shared.values()) < 0.03
+
+
+def test_what_a_run_holds_does_not_grow_with_its_texts():
+    import pyarrow as pa
+
+    def batches(text):
+        for at in range(0, 2000, 100):
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + 100)), pa.array([text] * 100), pa.array(["x"] * 100)], ["doc_id", "norm", "text_sha256"])
+
+    def most(text):
+        pool, least = pa.total_allocated_bytes(), []
+        source = batches(text)
+
+        def watched():
+            for b in source:
+                yield b
+                least.append(pa.total_allocated_bytes() - pool - b.nbytes)
+
+        rows = pa.Table.from_batches(list(exact_dedup._neighbours(watched())))
+        assert rows.num_rows == 2001 and rows["local_size"].to_pylist()[:2000] == [2000] * 2000
+        return max(least)
+
+    assert most("x" * 20000) < most("x") + 3_000_000
+
+
+def test_texts_that_are_not_utf8(spark):
+    df = spark.sql("select * from values (1, cast(unhex('61FF62') as string)), (2, cast(unhex('61FE62') as string)), (3, cast(unhex('C3A9') as string)) as t(doc_id, text)")
+    assert {(r["doc_id"], r["keep_id"]) for r in exact_dedup.exact_groups(df).collect()} == {(1, 1), (2, 1), (3, 3)}
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(df).collect()}
+    assert got == {1: f"{slow_print('a\ufffdb'):016x}", 2: f"{slow_print('a\ufffdb'):016x}", 3: f"{slow_print('é'):016x}"}
