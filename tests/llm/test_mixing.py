@@ -22,43 +22,69 @@ def test_floor_sum_and_slots():
     assert mixing.slots_before(500, 0, 1 << 64, shift) == 500
 
 
-def test_targets():
-    assert mixing.fill_targets([100, 100, 100], [3, 1, 2], 1.5, 2) == pytest.approx([200, 250 / 3, 500 / 3])
-    assert mixing.fill_targets([10, 1000], [3, 1], 1.5, 2) == pytest.approx([20, 1495])
-    assert mixing.fill_targets([0, 0], [3, 1], 1.5, 2) == [0, 0] and mixing.fill_targets([], [], 1.5, 2) == []
-
-
-def slow_schedule(streams, shift):
-    """Slot by slot: (slot, source, block, epoch, room)."""
-    total, bounds = sum(s.slots for s in streams), mixing._bounds(streams)
-    seen, out = Counter(), []
-    put = lambda slot, i: out.append((slot, i, seen[i] % streams[i].blocks, seen[i] // streams[i].blocks, streams[i].last_words if seen[i] == streams[i].slots - 1 else streams[i].block))
-    for t in range(total):
-        p = (shift + t * mixing.GOLDEN_STEP) % (1 << 64)
-        i = next(j for j in range(len(streams)) if bounds[j] <= p < bounds[j + 1])
-        if seen[i] < streams[i].slots:
-            put(t, i)
-        seen[i] += 1
-    at = total
-    for i, s in enumerate(streams):
-        while seen[i] < s.slots:
-            put(at, i)
-            seen[i] += 1
-            at += 1
-    return out
-
-
-def test_stretches_equal_the_slow_schedule(monkeypatch):
+def slow_targets(sizes, weights, share, most):
+    """Targets by weight, stopped at ``most`` times a size, the excess shared again by weight."""
+    left, open_, targets = share * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        full = {i for i in open_ if unit * weights[i] > most * sizes[i]}
+        for i in full or open_:
+            targets[i] = float(most * sizes[i]) if full else unit * weights[i]
+        if not full:
+            break
+        left -= sum(targets[i] for i in full)
+        open_ -= full
+    return targets
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000], [0, 0], [], [1, 1000, 3, 3000, 0, 7, 90, 20, 5, 600] * 20])
+def test_sources(spark, sizes):
+    rows = [(f"s{i:04}", f"=s{i:04}", n) for i, n in enumerate(sizes)]
+    got = sorted(mixing.source_table(spark.createDataFrame(rows, "source string, key string, size long"), (3, 1, 2), 1.5, 2, 16).collect(), key=lambda r: r["source_index"])
+    assert [(r["source_index"], r["source"], r["source_size"]) for r in got] == [(i, s, n) for i, (s, _, n) in enumerate(rows)]
+    want = slow_targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))], 1.5, 2)
+    assert [r["target"] for r in got] == pytest.approx(want)
+    run = 0
+    for r, t in zip(got, want, strict=True):
+        take = min(math.floor(t + 0.5), 2 * r["source_size"])
+        turns, rest = divmod(take, r["source_size"]) if r["source_size"] else (0, 0)
+        blocks = -(-r["source_size"] // 16)
+        assert (r["take"], r["blocks"], r["slots"], r["before"]) == (take, blocks, turns * blocks + -(-rest // 16), run)
+        assert r["last"] == ((rest - 1) % 16 + 1 if rest else 16)
+        run += r["slots"]
+
+
+def test_more_sources_than_documents_have_words(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('s', id) as source", "repeat('w ', cast(id % 5 as int)) as text")
+    rows = mixing.taken_words(mixing.mix(docs)).collect()
+    want = slow_targets([int(r) % 5 for r in sorted(map(str, range(3000)))], [(3, 1, 2)[i % 3] for i in range(3000)], 1.5, 2)
+    got = sorted((r["source"], r["target"], r["taken"]) for r in rows)
+    assert [t for _, t, _ in got] == pytest.approx(want) and all(abs(t - n) <= 0.5 for _, t, n in got)
+
+
+@pytest.mark.parametrize("low, high", [(0, 1 << 64), (0, 1 << 63), (1 << 60, (1 << 60) + (1 << 58)), ((1 << 64) - (1 << 57), 1 << 64), (123456789 << 32, (123456789 << 32) + (1 << 55))])
+def test_slots_equal_the_slow_schedule(low, high):
+    shift = (7 * mixing.GOLDEN_STEP) % (1 << 64)
+    want = [t for t in range(200_000) if low <= (shift + t * mixing.GOLDEN_STEP) % (1 << 64) < high]
+    assert len(want) > 60
+    for first, count in ((0, 1), (0, 60), (1, 20), (37, 23)):
+        assert mixing.slots_of(low, high, shift, first, count).tolist() == want[first : first + count]
+    assert mixing.slots_of(low, high, shift, 0, len(want)).tolist() == want
+
+
+def test_stretches(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(mixing, "STRETCH", 64)
-    streams = [mixing.Stream(1000, 1500, 16), mixing.Stream(0, 0, 16), mixing.Stream(37, 74, 16), mixing.Stream(5000, 1234, 16), mixing.Stream(5, 3, 16)]
-    total = sum(s.slots for s in streams)
-    ids = pa.RecordBatch.from_arrays([pa.array(range(-(-total // 64)), pa.int64())], ["id"])
-    got = [tuple(r.values()) for b in mixing._stretches(streams, 99)(iter([ids])) for r in b.to_pylist()]
-    want = slow_schedule(streams, 99)
-    assert sorted(r[1:] for r in got) == sorted(r[1:] for r in want)
-    assert [r for r in got if r[0] < total] == [r for r in want if r[0] < total]
+    rows = [(0, 0, 150, 63, 8), (1, 150, 5, 3, 16), (2, 155, 300, 40, 16)]
+    due = [dict(zip(("source_index", "before", "slots", "blocks", "last"), r, strict=True)) | {"total": 455, "stretch": k} for r in rows for k in range(-(-r[2] // 64))]
+    got = [tuple(r.values()) for b in mixing._stretches(99, 16)(iter([pa.RecordBatch.from_pylist(due)])) for r in b.to_pylist()]
+    for i, before, slots, blocks, last in rows:
+        low, high = ((1 << 64) * n // 455 for n in (before, before + slots))
+        hits = [t for t in range(2000) if low <= (99 + t * mixing.GOLDEN_STEP) % (1 << 64) < high][:slots]
+        want = [(t, i, k % blocks, k // blocks, last if k == slots - 1 else 16) for k, t in enumerate(hits)]
+        assert sorted(r for r in got if r[1] == i) == want
+    assert len({r[0] for r in got}) == 455
 
 
 @pytest.mark.parametrize("which", ["docs", "edge", "clashing"])
@@ -70,7 +96,7 @@ def test_words_taken(request, which, block):
     for r in given:
         sizes[r["source"]] += words(r["text"])
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    targets = dict(zip(order, mixing.fill_targets([sizes[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5, 2), strict=True))
+    targets = dict(zip(order, slow_targets([sizes[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5, 2), strict=True))
     mixture = mixing.mix(df, block_words=block)
     rows = mixing.taken_words(mixture).collect()
     assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((r["doc_id"], words(r["text"])) for r in given)
