@@ -39,14 +39,29 @@ def row_name(doc_id: Column, key: Column) -> Column:
 HOT_KEYS = 1000
 
 
-def look_up(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+#: Rows of a few numbers each that are broadcast whole, when a count has shown that there are no more.
+BROADCAST_ROWS = 100_000
+#: Rows of a few numbers each that make a task worth its start.
+TASK_ROWS = 50_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has at most ``rows`` short rows, in as many partitions as these are worth."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
+def look_up(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None, bound: int | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which has each key of ``on`` once, without gathering a frequent key's rows.
 
-    The ``HOT_KEYS`` keys with the most rows are joined by broadcast, and their
-    rows dealt out evenly; any other key has less than a thousandth of the rows.
-    ``counts`` may give the keys' numbers of rows, or bounds on them, as ``_n``.
-    ``how`` is inner or left.  ``table`` is read twice, so it should be settled.
+    A table of at most ``BROADCAST_ROWS`` rows is broadcast.  Of a larger one
+    the ``HOT_KEYS`` keys with the most rows are, and their rows dealt out
+    evenly; any other key has less than a thousandth of the rows.  ``counts``
+    may give the keys' numbers of rows, or bounds on them, as ``_n``, and
+    ``bound`` a bound on the table's rows.  ``how`` is inner or left.  ``table``
+    is read more than once, so it should be settled.
     """
+    if (table.count() if bound is None else bound) <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on, how).select(*rows.columns, *[c for c in table.columns if c not in on])
     values = [c for c in table.columns if c not in on]
     if counts is None:
         counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
@@ -98,6 +113,12 @@ def labelled_rows(labels: DataFrame, label: str, fold: Column, limit: int, seed:
 ROWS_AT_ONCE = 512
 
 
+def texts_of(column: pa.Array) -> list[str]:
+    """A column's texts, as ``text_or_empty`` would give them."""
+    raw = column.cast(pa.binary()).to_pylist()
+    return ["" if t is None else t.decode("utf-8", "replace") for t in raw]
+
+
 def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in short batches, so that few texts are Python strings at once."""
     for batch in batches:

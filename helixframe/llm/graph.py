@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import look_up, settle
+from helixframe.llm.common import BROADCAST_ROWS, few, look_up, settle
 
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _parents(edges: DataFrame, step: int) -> DataFrame:
-    """(v, p, n): for each node a node of its component that stands for it, and its number of edges.
+def _parents(edges: DataFrame, n: int, step: int) -> DataFrame:
+    """(v, p, n): for each node of ``n`` edges a node of its component that stands for it, and its number of edges.
 
     Every node takes its edge of least random weight.  These edges are trees
     but for pairs that took the same edge, of which the smaller node becomes the
@@ -22,11 +22,12 @@ def _parents(edges: DataFrame, step: int) -> DataFrame:
     weight = F.xxhash64(F.lit(step), "a", "b")
     ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("o")), F.struct(F.col("b").alias("v"), F.col("a").alias("o")))).alias("x")
     taken = edges.select(weight.alias("w"), ends).groupBy(F.col("x.v").alias("v"))
-    chosen = settle(taken.agg(F.min_by("x.o", F.struct("w", "x.o")).alias("p"), F.count("*").alias("n")))
+    chosen = settle(few(taken.agg(F.min_by("x.o", F.struct("w", "x.o")).alias("p"), F.count("*").alias("n")), 2 * n))
     up = lambda table: table.select(F.col("v").alias("p"), F.col("p").alias("q"))
     root = (F.col("q") == F.col("v")) & (F.col("v") < F.col("p"))
-    rooted = settle(look_up(chosen, up(chosen), ["p"]).select("v", F.when(root, F.col("v")).otherwise(F.col("p")).alias("p"), "n"))
-    return settle(look_up(rooted, up(rooted), ["p"]).select("v", F.col("q").alias("p"), "n"))
+    rooted = look_up(chosen, up(chosen), ["p"], bound=2 * n).select("v", F.when(root, F.col("v")).otherwise(F.col("p")).alias("p"), "n")
+    rooted = rooted if 2 * n <= BROADCAST_ROWS else settle(rooted)
+    return settle(look_up(rooted, up(rooted), ["p"], bound=2 * n).select("v", F.col("q").alias("p"), "n"))
 
 
 def components(links: DataFrame, smallest: bool = True) -> DataFrame:
@@ -41,23 +42,26 @@ def components(links: DataFrame, smallest: bool = True) -> DataFrame:
     """
     # Settled before anything reads it twice: a search that depends on the order of rows may give other links the next time.
     edges = settle(links.where("a is not null and b is not null and a <> b").select(*_ordered("a", "b")).distinct())
-    if edges.isEmpty():
+    left, steps = edges.count(), []
+    if not left:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    steps = []
-    while not edges.isEmpty():
-        steps.append(_parents(edges, len(steps)))
+    nodes = 2 * left
+    while left:
+        edges = few(edges, left)
+        steps.append(_parents(edges, left, len(steps)))
         counts = steps[-1].select("v", F.col("n").alias("_n"))
         for end in ("a", "b"):
             table = steps[-1].select(F.col("v").alias(end), F.col("p").alias("_p"))
-            moved = look_up(edges, table, [end], counts=counts.withColumnRenamed("v", end))
+            moved = look_up(edges, table, [end], counts=counts.withColumnRenamed("v", end), bound=2 * left)
             edges = moved.select(*[F.col("_p").alias(end) if c == end else c for c in ("a", "b")])
-        edges = settle(edges.where("a <> b").select(*_ordered("a", "b")).distinct())
+        edges = settle(few(edges.where("a <> b").select(*_ordered("a", "b")).distinct(), left))
+        left = edges.count()
     found = steps.pop().select("v", "p")
     for table in reversed(steps):
         up = found.select(F.col("v").alias("p"), F.col("p").alias("_top"))
-        found = settle(look_up(table.select("v", "p"), up, ["p"], "left").select("v", F.coalesce("_top", "p").alias("p")))
+        found = settle(look_up(table.select("v", "p"), up, ["p"], "left", bound=nodes).select("v", F.coalesce("_top", "p").alias("p")))
     if not smallest:
         return found.select(F.col("v").alias("node"), F.col("p").alias("component"))
-    least = settle(found.groupBy("p").agg(F.min("v").alias("component"), F.count("*").alias("_n")))
-    named = look_up(found, least.select("p", "component"), ["p"], counts=least.select("p", "_n"))
+    least = settle(few(found.groupBy("p").agg(F.min("v").alias("component"), F.count("*").alias("_n")), nodes))
+    named = look_up(found, least.select("p", "component"), ["p"], counts=least.select("p", "_n"), bound=nodes)
     return settle(named.select(F.col("v").alias("node"), "component"))

@@ -15,7 +15,7 @@ bit away from its own, outside the shared blocks, and members that meet on one
 of those are at most two bits apart.  At most 65 fingerprints can meet on one,
 so these groups are small by construction, and the result is the same.
 
-Edge cases: a null or empty text, or one of white space, has fingerprint zero
+Edge cases: bytes that are not UTF-8 count as U+FFFD.  A null or empty text, or one of white space, has fingerprint zero
 and is linked like any other.  A text of fewer words than a shingle is one
 shingle.  Rows with a null identifier are linked like others; a component
 that holds no identifier at all has a null one.  Repeated rows repeat in the
@@ -349,8 +349,8 @@ class _Blocks:
         links = settle(dealt.mapInArrow(_within_keys(self.max_distance, self.lanes), "a long, b long"))
         self.links.append(links)
         found = components(links, smallest=False).select(F.col("node").alias("component"), F.col("component").alias("_new"))
-        if not found.isEmpty():
-            moved = look_up(self.state, found, ["component"], "left")
+        if n := found.count():
+            moved = look_up(self.state, found, ["component"], "left", bound=n)
             self.state = settle(moved.select("node", "print", F.coalesce("_new", "component").alias("component")))
 
     def run(self) -> None:
@@ -465,13 +465,16 @@ def near_duplicates(
     # Nodes are numbers of their own, so rows without an identifier link like others.
     firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n"))
     nodes = settle(firsts.withColumn("node", F.monotonically_increasing_id()))
+    texts = nodes.count()
+    nodes = nodes.coalesce(max(1, -(-texts // _PRINTS)))
     if lanes == 1:
         links, known = links_within(nodes.select("node", "print"), max_distance, blocks, group_rows), None
     else:
-        found = _Blocks(nodes.select("node", "print"), lanes, blocks_for(nodes.count(), lanes, blocks, strided, members), max_distance, group_rows)
+        found = _Blocks(nodes.select("node", "print"), lanes, blocks_for(texts, lanes, blocks, strided, members), max_distance, group_rows)
         found.run()
         links = found.state.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        known = found.state.select("node", F.col("component").alias("group"))
+        known = found.state.where("node <> component").select("node", F.col("component").alias("group"))
+        known = known.unionByName(known.select(F.col("group").alias("node"), "group").distinct())
     # An identifier that several fingerprints share links them.
     shared = nodes.where("first is not null").groupBy("first").agg(F.min("node").alias("a"), F.count("*").alias("_n")).where("_n > 1")
     if not shared.isEmpty():
@@ -480,7 +483,7 @@ def near_duplicates(
         links, known = links.unionByName(again.select("a", "b")), None
     if known is None:
         known = components(links, smallest=False).withColumnRenamed("component", "group")
-    joined = settle(nodes.join(known, "node", "left"))
+    joined = settle(look_up(nodes, known, ["node"], "left"))
     # Fingerprints alone in their component, the most of them, need no label from elsewhere.
     groups = settle(joined.where("group is not null").groupBy("group").agg(F.min("first").alias("label"), F.count("*").alias("_members")))
     many = groups.select("group", F.col("_members").alias("_n"))
