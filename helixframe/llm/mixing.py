@@ -17,7 +17,7 @@ Targets share ``share`` times all words by weight; a target stops at
 source's last slot takes the words that are left to its target, so the words
 taken equal the target but for rounding to a whole word.
 
-Edge cases: a null source is a source of its own, after all others.  A null
+Edge cases: bytes that are not UTF-8 count as U+FFFD.  A null source is a source of its own, after all others.  A null
 text, an empty one or one of white space has size 0 and is never taken.
 Repeated rows are laid out, and counted, once each.  Rows without an identifier
 are told apart by their text.  An empty table gives no

@@ -10,7 +10,7 @@ rectangular, and ``write_buckets`` lays a folder out per bucket.
 Each document is cut where it is read: nothing is shuffled, and numbers are
 given out per task, so the operator's cost is the tokenizer's.
 
-Edge cases: a null or empty text is the end-of-document id alone, one piece of
+Edge cases: bytes that are not UTF-8 count as U+FFFD.  A null or empty text is the end-of-document id alone, one piece of
 length 1.  Repeated rows are packed once each.  An empty table gives no rows.
 Extra columns are ignored.  Special-token strings inside a text are read as the
 tokenizer reads them by default.

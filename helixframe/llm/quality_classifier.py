@@ -13,7 +13,7 @@ number of partial sums and one short vector per row.  The model has a fixed
 size, so it can be broadcast, and every document is scored on its whole text.
 
 Edge cases: a null or empty text has zero vectors and gets the score that the
-network gives these.  Labels that are null are left out; without labels of both
+network gives these; bytes that are not UTF-8 count as U+FFFD.  Labels that are null are left out; without labels of both
 classes every score is the share of label 1 (0.5 without any).  Repeated rows
 repeat.  An empty table gives no rows.  Extra columns are ignored.
 """
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import in_slices, labelled_rows, partial_sums, settle, summed, text_or_empty
+from helixframe.llm.common import in_slices, labelled_rows, partial_sums, settle, summed, text_or_empty, texts_of
 
 BUCKETS, WIDTH, NONZERO, REACH = 1 << 16, 32, 4, 2
 HIDDEN, EPOCHS, BATCH = 32, 80, 256
@@ -204,7 +204,7 @@ def keep_quality(docs: DataFrame, model: QualityModel | float, threshold: float
         cache, m = _Buckets(), shared.value
         for batch in in_slices(batches):
             if batch.num_rows:
-                x = np.stack([pooled(t or "", m.vectors, cache) for t in batch.column("text").to_pylist()])
+                x = np.stack([pooled(t, m.vectors, cache) for t in texts_of(batch.column("text"))])
                 yield batch.filter(pa.array(m.scores(x) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

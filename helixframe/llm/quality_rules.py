@@ -15,7 +15,7 @@ The counts work on one row at a time, without exploding words.  Repeated
 three-word windows are found by sorting 64-bit numbers that hold a window's hash
 above its position; windows whose hashes meet are compared word by word.
 
-Edge cases: a null text has no words; a text without words fails the base
+Edge cases: bytes that are not UTF-8 count as U+FFFD.  A null text has no words; a text without words fails the base
 limits.  Repeated rows repeat.  An empty table gives no rows.  Extra columns are
 ignored.
 """

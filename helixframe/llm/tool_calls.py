@@ -17,12 +17,14 @@ schema, and every message is serialised as canonical JSON: keys sorted, no
 spaces, shortest numbers.
 
 One row per message, so no conversation is ever gathered in one task: links and
-dependencies are joins, and the order is relaxed along them until it stands
-still, which takes no round at all where results follow their calls.
+dependencies are joins, and the order of conversations in which a message comes
+before what it depends on is relaxed along them until it stands still.
 
 Edge cases: a null text is an empty message; a null role is the empty string.
 Tagged text that is not a JSON object with a string ``id`` stays part of the
-message and counts as malformed.  On a dependency cycle the messages at which
+message and counts as malformed, and so does JSON nested more than ``MAX_DEPTH``
+deep.  Bytes that are not UTF-8 count as U+FFFD; half of a surrogate pair stays
+the escape that it was in the JSON.  On a dependency cycle the messages at which
 it is noticed stop moving and are marked ``cycle``.  A null
 conversation links nothing.  Repeated rows are messages of their own.  An empty
 table gives no rows.  Extra columns are ignored.
@@ -41,6 +43,9 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import in_slices, settle
 
+#: Nesting of JSON that is read; deeper text is left as it is.
+MAX_DEPTH = 200
+_HALVES = re.compile("[\ud800-\udfff]")
 _TAG = re.compile(r"<(tool_call|tool_result)>(.*?)</\1>", re.DOTALL)
 _KINDS = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
@@ -56,8 +61,22 @@ def _canonical(value):
     return [_canonical(v) for v in value] if isinstance(value, list) else value
 
 
+def _written(text: str) -> str:
+    """Halves of surrogate pairs, which UTF-8 lacks, as escapes."""
+    return _HALVES.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical_json(value) -> str:
-    return json.dumps(_canonical(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _written(json.dumps(_canonical(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def _too_deep(value) -> bool:
+    level = [value]
+    for _ in range(MAX_DEPTH):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return False
+    return True
 
 
 def _is(value, kind: str) -> bool:
@@ -126,7 +145,7 @@ def parse_message(role: str, text: str, schemas: Mapping[str, Mapping]) -> tuple
             body = json.loads(m.group(2))
         except (ValueError, RecursionError):
             body = None
-        if not isinstance(body, dict) or not isinstance(body.get("id"), str):
+        if not isinstance(body, dict) or not isinstance(body.get("id"), str) or _too_deep(body):
             malformed += 1
             continue
         plain.append(text[at : m.start()])
@@ -136,10 +155,10 @@ def parse_message(role: str, text: str, schemas: Mapping[str, Mapping]) -> tuple
             name = body.get("name")
             schema = schemas.get(name) if isinstance(name, str) else None
             errors = ["unknown tool"] if schema is None else schema_errors(arguments, schema)
-            calls.append({"id": body["id"], "needs": sorted(_references(arguments)), "errors": errors})
+            calls.append({"id": _written(body["id"]), "needs": sorted(map(_written, _references(arguments))), "errors": list(map(_written, errors))})
             spoken_calls.append({"arguments": arguments, "id": body["id"], "name": name})
         else:
-            results.append({"id": body["id"]})
+            results.append({"id": _written(body["id"])})
             spoken_results.append({"content": body.get("content"), "id": body["id"]})
     plain.append(text[at:])
     message = {"content": "".join(plain), "role": role}
@@ -224,7 +243,8 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping] | None =
     n_invalid (calls whose arguments break their schema, or of unknown tools),
     errors, malformed, status and message (canonical JSON).
     """
-    source = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    readable = [F.make_valid_utf8(F.col(c).cast("string")).alias(c) for c in ("role", "text")]
+    source = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *readable)
     rows = settle(source.mapInArrow(_parse(dict(schemas or {})), _SCHEMA).withColumn("node", F.monotonically_increasing_id()))
     pick = Window.partitionBy("conv_id", "id").orderBy("turn", "node", "at")
     calls = rows.select("conv_id", "turn", "node", F.posexplode("calls").alias("at", "call"))
@@ -240,12 +260,12 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping] | None =
     first = linked.where("k = 1").select("conv_id", F.col("id").alias("need"), F.col("result_node").alias("before"), F.col("result_turn").alias("before_turn"))
     needs = calls.select("conv_id", F.col("node").alias("after"), F.col("turn").alias("after_turn"), F.explode("needs").alias("need")).join(first, ["conv_id", "need"])
     edges = settle(follows.unionByName(needs.select("conv_id", "before", "before_turn", "after", "after_turn")).where("before <> after").distinct())
-    late = edges.where("after_turn <= before_turn")
+    late = edges.where("after_turn <= before_turn").select("conv_id").distinct()
     out = rows.join(answered, "node", "left").join(matched, "node", "left")
     if late.isEmpty():  # every turn already follows what it depends on
         out = out.withColumns({"order_turn": F.col("turn"), "order_level": F.lit(0).cast("long"), "cycle": F.lit(False)})
     else:
-        out = out.join(_ordered(edges), "node", "left").withColumns(
+        out = out.join(_ordered(settle(edges.join(late, "conv_id", "left_semi"))), "node", "left").withColumns(
             {"order_turn": F.coalesce("order_turn", "turn"), "order_level": F.coalesce("order_level", F.lit(0)), "cycle": F.coalesce("cycle", F.lit(False))}
         )
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")

@@ -13,7 +13,7 @@ The sample is bounded by ``fit_rows``; the driver receives a fixed number of
 count tables and ``FEATURES`` bits per row.  The model has a fixed size, so it
 can be broadcast, and every document is scored on its whole text.
 
-Edge cases: a null or empty text has no features and gets the score of the
+Edge cases: bytes that are not UTF-8 count as U+FFFD.  A null or empty text has no features and gets the score of the
 intercept.  Labels that are null are left out; without labels of both classes
 every score is the share of label 1 (0 without any).  Repeated rows repeat.  An
 empty table gives no rows.  Extra columns are ignored.

@@ -83,3 +83,10 @@ def test_calibration_on_noisy_labels():
     for low in (0.1, 0.3, 0.5, 0.7):
         part = (p >= low) & (p < low + 0.2)
         assert abs(y[3000:][part].mean() - p[part].mean()) < 0.12
+
+
+def test_texts_that_are_not_utf8(spark, models):
+    df = spark.sql("select * from values (1L, cast(unhex('61FF62') as string)), (2L, cast(unhex('61EFBFBD62') as string)) as t(doc_id, text)")
+    for score, model in ((quality.score_quality, models[0]), (toxicity.score_toxicity, models[1])):
+        assert len({r["score"] for r in score(df, model).collect()}) == 1
+    assert quality.keep_quality(df, models[0], 0.0).count() == 2

@@ -144,3 +144,48 @@ def test_conversations_without_calls_keep_their_order(spark, sf_dir):
         assert (g["order_turn"], g["order_level"], g["status"]) == (r["turn"], 0, "ok")
         assert json.loads(g["message"]) == {"content": r["text"], "role": r["role"]}
     assert tool_calls.link_tool_calls(df.limit(0)).collect() == []
+
+
+def test_one_odd_message_does_not_end_the_job(spark):
+    deep = "[" * 500 + "]" * 500
+    for _ in range(900):
+        nested = {"a": nested} if _ else {}
+    texts = [
+        '<tool_call>{"id": "\\ud800", "name": "search", "arguments": {"q": "\\udfff x"}}</tool_call>',
+        f'<tool_call>{{"id": "b", "name": "search", "arguments": {{"q": {deep}}}}}</tool_call>',
+        f'<tool_call>{{"id": "c", "name": "search", "arguments": {json.dumps(nested)}}}</tool_call>',
+        f'<tool_call>{{"id": "d", "name": "search", "arguments": {"[" * 100000}</tool_call>',
+    ]
+    df = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    bad = spark.sql("select 1L as conv_id, 9L as turn, cast(unhex('61FF') as string) as role, cast(unhex('FE62') as string) as text")
+    got = {r["turn"]: r for r in tool_calls.link_tool_calls(df.unionByName(bad), SCHEMA).collect()}
+    assert got[0]["message"] == '{"content":"","role":"assistant","tool_calls":[{"arguments":{"q":"\\udfff x"},"id":"\\ud800","name":"search"}]}'
+    assert json.loads(got[0]["message"])["tool_calls"][0]["id"] == "\ud800"
+    for i in (1, 2, 3):
+        assert got[i]["malformed"] == 1 and json.loads(got[i]["message"])["content"] == texts[i]
+    assert got[9]["message"] == '{"content":"\ufffdb","role":"a\ufffd"}'
+
+
+def test_order_equals_a_plain_search(spark):
+    import random
+
+    rng = random.Random(3)
+    rows, want = [], {}
+    for conv in range(12):
+        ids = list(range(8))
+        needs = {i: [j for j in range(i) if rng.random() < 0.3] for i in ids}
+        turns = rng.sample(range(40), 16)
+        nodes = {("call", i): turns[i] for i in ids} | {("result", i): turns[8 + i] for i in ids}
+        before = {("result", i): [("call", i)] for i in ids} | {("call", i): [("result", j) for j in needs[i]] for i in ids}
+        for (kind, i), turn in nodes.items():
+            text = call("search", f"t{i}", q="x", n=[{"$ref": f"t{j}"} for j in needs[i]]) if kind == "call" else result(f"t{i}", 1)
+            rows.append((conv, turn, kind, text))
+
+        place = {}
+        for i in ids:
+            for key in (("call", i), ("result", i)):
+                t, level = max([place[b] for b in before[key]], default=(-1, -1))
+                place[key] = (t, level + 1) if t >= nodes[key] else (nodes[key], 0)
+                want[conv, nodes[key]] = place[key]
+    got = tool_calls.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"]): (r["order_turn"], r["order_level"]) for r in got} == want
