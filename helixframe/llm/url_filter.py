@@ -2,22 +2,24 @@
 
 A page's URL gives a host and a path.  The longest fitting rule decides; the
 pages that rules decide are also the labelled examples from which the method
-learns (other labels can be given).  For each host the paths form a tree:
+learns (other labels can be given).  For each host the paths form a tree over
+all their segments:
 
 * segments that vary by kind (numbers, hexadecimal identifiers, UUIDs) become
-  typed wildcards, and the children of a node with more than ``max_children``
-  of them become ``*``;
-* sibling branches whose children are distributed alike, by a chi-squared test
-  of each branch against all branches of the node, and whose shares of bad
-  labelled pages do not contradict it either, merge into ``*``;
+  typed wildcards;
+* sibling branches are on the bad side when most of their labelled pages are
+  bad, and on the other side otherwise, also when they have none; branches of
+  one side whose children are distributed alike, by a chi-squared test of each
+  against all of that side, and whose shares of bad labelled pages agree with
+  it, merge into ``*`` (``*bad`` on the bad side), so a branch without labels
+  never inherits what its labelled siblings are rejected for;
 * what results is the template.  A template is rejected when its share of bad
-  labelled pages, smoothed towards its host's share and that towards ``prior``,
-  reaches ``reject_at``.
+  labelled pages, smoothed towards ``prior``, reaches ``reject_at``.
 
 All statistics are sums by key over distinct typed paths, partially aggregated
-before each shuffle, so a host that owns a third of the pages is spread by its
-paths.  ``max_depth`` segments are told apart; deeper ones share their
-ancestor's branch and count as one tail.
+before each shuffle, and their results are looked up without gathering a
+frequent key: a host may own a third of the pages, a node any number of
+branches, and a typed path any number of pages.
 
 Edge cases: a URL that is null or has no ``://`` has an empty host and path.
 Without any labelled page nothing is rejected.  Repeated rows repeat.  An empty
@@ -31,7 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import settle
+from helixframe.llm.common import look_up, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -76,32 +78,38 @@ def _kind(segment: Column) -> Column:
     )
 
 
-def templates(paths: DataFrame, max_depth: int = 6, max_children: int = 50, z_limit: float = 3.09) -> DataFrame:
+def templates(paths: DataFrame, z_limit: float = 3.09, bad_at: float = 0.5) -> DataFrame:
     """(host, typed, template) for distinct ``paths(host, typed, n, labelled, n_bad)``."""
-    segments = F.slice(F.split(F.substring("typed", 2, 1 << 30), "/", -1), 1, max_depth)
+    segments = F.split(F.substring("typed", 2, 1 << 30), "/", -1)
     counts = ["n", "labelled", "n_bad"]
     split = paths.select("host", "typed", *counts, segments.alias("s"))
+    # A node is known by two hashes of the segments above it: as text, a long path's prefixes would cost its length squared.
+    above = F.array_join(F.slice("s", F.lit(1), F.col("depth")), "/")
     steps = split.select("host", "typed", *counts, "s", F.posexplode("s").alias("depth", "segment")).select(
         "host",
         "typed",
         *counts,
         "depth",
         "segment",
-        F.array_join(F.slice("s", F.lit(1), F.col("depth")), "/").alias("parent"),
+        F.struct(F.xxhash64(F.lit(1), above).alias("x"), F.xxhash64(F.lit(2), above).alias("y")).alias("parent"),
         _kind(F.get("s", F.col("depth") + 1)).alias("kind"),
     )
-    node = ["host", "depth", "parent"]
-    branch = [*node, "segment"]
+    branch = ["host", "depth", "parent", "segment"]
+    node = ["host", "depth", "parent", "bad"]
     sums = [F.sum("o").alias("o"), F.sum("labelled").alias("labelled"), F.sum("n_bad").alias("n_bad")]
     by_kind = lambda name: F.map_from_entries(F.collect_list(F.struct("kind", "o"))).alias(name)
+    steps = settle(steps)
     cells = steps.withColumnRenamed("n", "o").groupBy(*branch, "kind").agg(*sums)
-    # One row per branch, and one per node: its kinds as a small map, its size, its labels.
+    # One row per branch, and one per side of a node: its kinds as a small map, its size, its labels.
     branches = cells.groupBy(*branch).agg(by_kind("kinds"), F.sum("o").alias("size"), *sums[1:])
-    pool = cells.groupBy(*node, "kind").agg(*sums).groupBy(*node)
-    pool = pool.agg(by_kind("all_kinds"), F.sum("o").alias("all_size"), (F.sum("n_bad") / F.greatest(F.sum("labelled"), F.lit(1))).alias("share"))
-    fan = branches.groupBy(*node).agg(F.count("*").alias("children"))
-    joined = branches.join(pool, node).join(fan, node)
-    # Chi-squared of a branch against its node: sum of o*o/e over its kinds, less its size.
+    branches = settle(branches.withColumn("bad", (F.col("labelled") > 0) & (F.col("n_bad") >= F.lit(bad_at) * F.col("labelled"))))
+    flat = branches.select(*node, "labelled", "n_bad", F.explode("kinds").alias("kind", "o"))
+    pool = flat.groupBy(*node, "kind").agg(F.sum("o").alias("o")).groupBy(*node).agg(by_kind("all_kinds"), F.sum("o").alias("all_size"))
+    share = (F.sum("n_bad") / F.greatest(F.sum("labelled"), F.lit(1))).alias("share")
+    fan = branches.groupBy(*node).agg(F.count("*").alias("children"), share)
+    sides = settle(pool.join(fan, node).where("children > 1"))
+    joined = look_up(branches, sides, node, counts=sides.select(*node, F.col("children").alias("_n")))
+    # Chi-squared of a branch against its side: sum of o*o/e over its kinds, less its size.
     expected = lambda kind: F.col("size") * F.col("all_kinds")[kind] / F.col("all_size")
     terms = F.transform(F.map_entries("kinds"), lambda e: e["value"] * e["value"] / expected(e["key"]))
     chi = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) - F.col("size")
@@ -110,12 +118,11 @@ def templates(paths: DataFrame, max_depth: int = 6, max_children: int = 50, z_li
     z = (F.cbrt(F.greatest(chi, F.lit(0.0)) / df) - (1 - spread)) / F.sqrt(spread)
     gap = F.abs(F.col("n_bad") - F.col("labelled") * F.col("share"))
     agrees = gap <= z_limit * F.sqrt(F.col("labelled") * F.col("share") * (1 - F.col("share")))
-    alike = (F.col("children") > max_children) | ((F.col("children") > 1) & (z <= z_limit) & agrees)
     kept_kinds = ~F.col("segment").rlike(r"^(\{[a-z]+\}|)$")
-    merged = joined.where(alike & kept_kinds).select(*branch, F.lit(True).alias("merged"))
-    named = steps.join(merged, branch, "left").select(
-        "host", "typed", F.struct("depth", F.when(F.col("merged"), "*").otherwise(F.col("segment")).alias("name")).alias("step")
-    )
+    name = F.when(F.col("bad"), "*bad").otherwise("*")
+    merged = settle(joined.where((z <= z_limit) & agrees & kept_kinds).select(*branch, name.alias("merged"), F.col("size").alias("_n")))
+    named = look_up(steps.select("host", "typed", *branch[1:]), merged.drop("_n"), branch, "left", counts=merged.select(*branch, "_n"))
+    named = named.select("host", "typed", F.struct("depth", F.coalesce("merged", "segment").alias("name")).alias("step"))
     rows = named.groupBy("host", "typed").agg(F.array_sort(F.collect_list("step")).alias("steps"))
     return rows.select("host", "typed", F.concat(F.lit("/"), F.array_join(F.transform("steps", lambda s: s["name"]), "/")).alias("template"))
 
@@ -127,8 +134,6 @@ def filter_urls(
     reject_at: float = 0.5,
     prior: float = 0.2,
     weight: float = 4.0,
-    max_depth: int = 6,
-    max_children: int = 50,
 ) -> DataFrame:
     """One row per row of ``pages(page_id, url)``: page_id, host, path, rule, verdict, template, purity.
 
@@ -148,14 +153,13 @@ def filter_urls(
     paths = settle(
         rows.withColumn("bad", bad).groupBy("host", "typed").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
     )
-    shaped = paths.join(templates(paths, max_depth, max_children), ["host", "typed"])
-    sums = [F.sum("labelled").alias("labelled"), F.sum("n_bad").alias("n_bad")]
-    smooth = lambda towards: (F.col("n_bad") + F.lit(weight) * towards) / (F.col("labelled") + F.lit(weight))
-    by_host = paths.groupBy("host").agg(*sums).select("host", smooth(F.lit(prior)).alias("host_purity"))
-    by_template = shaped.groupBy("host", "template").agg(*sums).join(by_host, "host")
-    judged = by_template.select("host", "template", smooth(F.col("host_purity")).alias("purity"))
-    known = shaped.select("host", "typed", "template").join(judged, ["host", "template"])
-    return rows.join(known, ["host", "typed"], "left").select(
+    shaped = settle(paths.join(templates(paths, bad_at=reject_at), ["host", "typed"]))
+    purity = (F.sum("n_bad") + F.lit(weight) * F.lit(prior)) / (F.sum("labelled") + F.lit(weight))
+    judged = settle(shaped.groupBy("host", "template").agg(purity.alias("purity"), F.count("*").alias("_n")))
+    known = look_up(shaped, judged.drop("_n"), ["host", "template"], counts=judged.select("host", "template", "_n"))
+    known = settle(known.select("host", "typed", "template", "purity", F.col("n").alias("_n")))
+    found = look_up(rows, known.drop("_n"), ["host", "typed"], "left", counts=known.select("host", "typed", "_n"))
+    return found.select(
         "page_id",
         "host",
         "path",

@@ -65,6 +65,79 @@ def test_alike_branches_merge_and_busy_nodes_become_wildcards(spark):
     assert all(t.startswith(("/x", "/y")) for h, t in got if h == "c.org")
 
 
+def slow_templates(urls, bad):
+    """(template, purity) by page, from plain loops; ``bad`` holds the labelled pages."""
+    import math
+    import re
+    from collections import defaultdict
+
+    def kind(segment):
+        if segment in (None, ""):
+            return "none" if segment is None else "end"
+        if re.fullmatch(r"\{[a-z]+\}", segment):
+            return segment
+        end = re.search(r"(\.[A-Za-z0-9]{1,5})?$", segment)[0]
+        return ("mixed" if re.search(r"\{[a-z]+\}", segment) else "word") + end
+
+    paths = {i: (slow_parts(u)[0], re.sub(r"[0-9]+", "{n}", slow_parts(u)[1])[1:].split("/")) for i, u in urls.items()}
+    branches = defaultdict(lambda: [defaultdict(int), 0, 0])
+    for i, (host, s) in paths.items():
+        for d in range(len(s)):
+            b = branches[host, tuple(s[:d]), s[d]]
+            b[0][kind(s[d + 1] if d + 1 < len(s) else None)] += 1
+            b[1] += i in bad
+            b[2] += bad.get(i, 0)
+    sides = defaultdict(list)
+    for (host, above, segment), b in branches.items():
+        sides[host, above, bool(b[1] and 2 * b[2] >= b[1])].append((segment, b))
+    merged = {}
+    for (host, above, side), own in sides.items():
+        total = defaultdict(int)
+        for _, b in own:
+            for k, n in b[0].items():
+                total[k] += n
+        labelled, n_bad = sum(b[1] for _, b in own), sum(b[2] for _, b in own)
+        share, df = n_bad / max(labelled, 1), max(len(total) - 1, 1)
+        for segment, b in own:
+            size = sum(b[0].values())
+            chi = sum(n * n / (size * total[k] / sum(total.values())) for k, n in b[0].items()) - size
+            z = (math.cbrt(max(chi, 0) / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+            agrees = abs(b[2] - b[1] * share) <= 3.09 * math.sqrt(b[1] * share * (1 - share))
+            if len(own) > 1 and z <= 3.09 and agrees and not re.fullmatch(r"(\{[a-z]+\}|)", segment):
+                merged[host, above, segment] = "*bad" if side else "*"
+    template = {i: (host, "/" + "/".join(merged.get((host, tuple(s[:d]), s[d]), s[d]) for d in range(len(s)))) for i, (host, s) in paths.items()}
+    sums = defaultdict(lambda: [0, 0])
+    for i, t in template.items():
+        sums[t][0] += bad.get(i, 0)
+        sums[t][1] += i in bad
+    return {i: (t[1], (sums[t][0] + 0.8) / (sums[t][1] + 4)) for i, t in template.items()}
+
+
+def test_the_tree_equals_plain_loops(spark):
+    import random
+
+    rng = random.Random(4)
+    urls, bad = {}, {}
+    for n in range(3000):
+        host = rng.choice(["a.org", "b.org", "c.net"])
+        path = [rng.choice(["de", "en", "es", "fr", "shop", "x1"])]
+        path += rng.choice([[str(n)], ["item.html"], ["u", f"name{rng.choice('abcdefgh')}", "photos"], ["deep"] * 9 + [str(n)], [""]])
+        urls[n] = f"http://{host}/" + "/".join(path)
+        if path[0] in ("es", "fr", "shop") and rng.random() < 0.6:
+            bad[n] = int(rng.random() < (0.1 if path[0] == "shop" else 0.95))
+    urls |= {3000 + i: f"http://busy.org/u/user{a}{b}/photos" for i, (a, b) in enumerate((a, b) for a in "abcdefghij" for b in "abcdefghij")}
+    pages, labels = spark.createDataFrame(list(urls.items()), "page_id long, url string"), spark.createDataFrame(list(bad.items()), "page_id long, bad int")
+    want = slow_templates(urls, bad)
+    rows = url_filter.filter_urls(pages, (), labels).collect()
+    assert {r["page_id"]: (r["template"], round(r["purity"], 9)) for r in rows} == {i: (t, round(p, 9)) for i, (t, p) in want.items()}
+    assert all(r["verdict"] == ("block" if r["purity"] >= 0.5 else "allow") for r in rows)
+    for host in ("a.org", "c.net"):  # verdicts vary within a host, and branches without labels stay
+        own = [(r["path"].split("/")[1], r["verdict"]) for r in rows if r["host"] == host]
+        assert ("es", "block") in own and not {v for s, v in own if s in ("de", "en", "shop")} - {"allow"}
+    assert {r["template"] for r in rows if r["host"] == "busy.org"} == {"/u/*/photos"}
+    assert any(t.count("deep") == 9 for t, _ in want.values())
+
+
 def test_main_path_has_no_python(spark, sf_dir, capsys):
     url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES).explain()
     assert not [w for w in ("Python", "Pandas", "Arrow") if w in capsys.readouterr().out]
