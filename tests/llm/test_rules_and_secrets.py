@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import texts_of
 
@@ -114,10 +115,50 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
             assert r["n_random"] == 1 and r["spans"] == f"random:7:{7 + len(planted[r['doc_id']])}"
 
 
+PROSE = "The committee met on 12 March 2021 to discuss the report; Version 2 of it named internationalization, getUserName and /usr/local/share. "
+
+
+def test_the_battery_alone_finds_tokens_of_each_encoding_in_prose(spark):
+    rng = random.Random(12)
+    letters = {"hex": "0123456789ABCDEF", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
+    rows, planted = [], {}
+    for i in range(600):
+        words = rng.sample(PROSE.split(), 12) + [rng.choice(["under_the_old_agreement", "Mittelstandsvereinigung", "well-known-and-long-lived", "2021-03-12T00-00-00"])]
+        if i % 20 == 0:
+            encoding = sorted(letters)[i // 20 % 3]
+            planted[i] = "".join(rng.choices(letters[encoding], k=48))
+            words.insert(5, planted[i])
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    hits = {i for i, r in got.items() if r["n_random"]}
+    assert hits <= set(planted) and len(hits) >= 0.9 * len(planted)
+    for i in hits:
+        start = text[i].index(planted[i])
+        assert got[i]["spans"] == f"random:{start}:{start + 48}" and got[i]["n_assign"] == got[i]["n_access"] == got[i]["n_hex"] == 0
+
+
+def test_pairs_and_models():
+    text = "aab1Z é" * 3
+    want = Counter((ord(a) if ord(a) < 128 else 0, ord(b) if ord(b) < 128 else 0) for a, b in zip(text, text[1:], strict=False))
+    table = secrets.pair_counts(text).reshape(128, 128)
+    assert {(i, j): table[i, j] for i, j in zip(*table.nonzero(), strict=True)} == want
+    assert secrets.pair_counts("").sum() == 0 and secrets.text_models(np.zeros((128, 128))) == [None] * 7
+    model = secrets.text_models(secrets.pair_counts("ab" * 50).reshape(128, 128))[0]  # hex: a and b in turn
+    assert model.squares == pytest.approx(0.5, abs=0.01) and model.change == 0 and model.serial == pytest.approx(-1, abs=0.02)
+
+
 def test_longer_tokens_give_stronger_evidence():
     rng = random.Random(1)
-    mean = lambda n: sum(secrets.battery("".join(rng.choices("0123456789abcdef", k=n)))[1] for _ in range(50)) / 50
+    models = secrets.text_models(secrets.pair_counts(PROSE * 20).reshape(128, 128))
+
+    def mean(n):
+        tokens = [secrets.statistics("".join(rng.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=n))) for _ in range(50)]
+        return sum(secrets.text_probability(*t[:-1], models[t[0]]) for t in tokens) / 50
+
     assert mean(16) > mean(32) > mean(64)
+    words = [secrets.statistics(w) for w in ("internationalization", "understandingofthe")]
+    assert all(secrets.text_probability(*t[:-1], models[t[0]]) > 0.01 for t in words)
     assert secrets.infer_encoding("deadbeef")[0] == "hex" and secrets.infer_encoding("ABCZ234=")[0] == "base32" and secrets.infer_encoding("a-b+c") is None
 
 
