@@ -1,11 +1,12 @@
 """Quality rules combined by weak supervision, in DataFrame functions only.
 
 Each rule looks at counts of a text and votes good, bad or abstains.  The
-accuracies of the rules are not given: expectation-maximisation estimates, from
-how the votes agree, each rule's chance of voting good, bad or nothing on good
-and on bad documents.  A document is kept when
-its posterior probability of being good reaches ``threshold``; two base limits
-drop it outright.
+accuracies of the rules and the share of good documents are not given:
+expectation-maximisation estimates, from how the votes agree, that share and
+each rule's chance of voting good, where it votes, on good and on bad documents.
+A document is kept when its posterior probability of being good reaches
+``threshold``, so one bad vote of a weak rule may be outvoted; two base limits
+drop it outright, and the estimation leaves such documents out.
 
 The votes of a document are one of 3**rules patterns, so the estimation reads a
 table of counts by pattern whose size does not depend on the corpus; the
@@ -13,7 +14,8 @@ iterations run on the driver over that table.
 
 The counts work on one row at a time, without exploding words.  Repeated
 three-word windows are found by sorting 64-bit numbers that hold a window's hash
-above its position; windows whose hashes meet are compared word by word.
+above its position; windows whose hashes meet are compared word by word, and where
+hashes of different windows meet the windows themselves are sorted.
 
 Edge cases: bytes that are not UTF-8 count as U+FFFD.  A null text has no words; a text without words fails the base
 limits.  Repeated rows repeat.  An empty table gives no rows.  Extra columns are
@@ -37,6 +39,8 @@ STOPS = ".!?:;"
 USUAL = "abcdefghijklmnopqrstuvwxyz "
 MIN_WORDS = 50
 GOOD, NONE, BAD = 1, 0, -1
+#: Bits above the position that a window's hash does without.
+SPARE_BITS = 0
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
     )
     n = F.size("words")
     # Windows 0 .. n-3 as (hash, position) packed into one long: positions take the low bits.
-    bits = F.ceil(F.log2(F.greatest(n, F.lit(2)) + F.lit(1))).cast("int")
+    bits = F.ceil(F.log2(F.greatest(n, F.lit(2)) + F.lit(1))).cast("int") + SPARE_BITS
     windows = F.when(
         n >= 4,
         F.sort_array(
@@ -101,7 +105,12 @@ def with_counts(docs: DataFrame) -> DataFrame:
     start = lambda i: F.get("sorted", i).bitwiseAND(mask).cast("int")
     word = lambda i, k: F.get("words", start(i) + k)
     same = lambda i: (word(i, 0) == word(i + 1, 0)) & (word(i, 1) == word(i + 1, 1)) & (word(i, 2) == word(i + 1, 2))
-    found = F.flatten(F.transform(F.filter("twins", same), lambda i: F.array(start(i), start(i + 1))))
+    quick = F.flatten(F.transform("twins", lambda i: F.array(start(i), start(i + 1))))
+    window = lambda i: F.struct(F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("w"), i.alias("i"))
+    whole = F.sort_array(F.transform(F.sequence(F.lit(0), F.size("words") - 3), window))
+    pair = lambda s, i: F.when(F.get(s, i)["w"] == F.get(s, i + 1)["w"], F.array(F.get(s, i)["i"], F.get(s, i + 1)["i"])).otherwise(F.array().cast("array<int>"))
+    sure = F.get(F.transform(F.array(whole), lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda i: pair(s, i)))), 0)
+    found = F.when(F.exists("twins", lambda i: ~same(i)), sure).otherwise(quick)
     rows = rows.withColumn("starts", F.sort_array(F.array_distinct(found)))
     covered = F.aggregate(
         F.transform("starts", lambda v, i: F.least(F.lit(3), F.coalesce(F.get("starts", i + 1) - v, F.lit(3))).cast("long")),
@@ -118,57 +127,59 @@ def _vote(good: Column, bad: Column) -> Column:
 def rule_votes() -> dict[str, Column]:
     """The rules: each votes on ratios of the counts.
 
-    A symptom's absence says little, as a bad text rarely has all of them, so
-    most rules vote bad or abstain; the shape of sentences can vote good too.
+    A rule votes good in the range that running text keeps to, bad far outside
+    of it, and abstains between them or where it has too little to go by.
     """
     per_word = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
     per_line = lambda c: F.col(c) / F.greatest("n_lines", F.lit(1))
     per_char = lambda c: F.col(c) / F.greatest("word_chars", F.lit(1))
-    no = F.lit(False)
-    mean, stops = per_word("word_chars"), per_word("n_stops")
+    mean, stops, some = per_word("word_chars"), per_word("n_stops"), F.col("n_words") > 0
     return {
-        "length": _vote(no, F.col("n_words") < MIN_WORDS),
-        "word_length": _vote(no, (mean < 2.5) | (mean > 12.0)),
-        "symbols": _vote(no, per_word("n_symbols") > 0.25),
-        "symbol_density": _vote(no, per_char("n_symbols") > 0.04),
-        "symbol_lines": _vote(no, (per_line("n_symbol_lines") > 0.5) & (per_word("n_symbols") > 0.05)),
-        "capitals": _vote(no, per_char("n_upper") > 0.4),
-        "duplicate_lines": _vote(no, (per_line("n_dup_lines") > 0.3) & (F.col("n_dup_lines") >= 2)),
-        "repeated_windows": _vote(no, per_word("n_repeat_words") > 0.35),
+        "length": _vote(F.col("n_words") >= 100, F.col("n_words") < MIN_WORDS),
+        "word_length": _vote(mean.between(3.0, 7.0), (mean < 2.5) | (mean > 12.0)),
+        "symbols": _vote(some & (per_word("n_symbols") < 0.05), per_word("n_symbols") > 0.25),
+        "symbol_density": _vote(some & (per_char("n_symbols") < 0.01), per_char("n_symbols") > 0.04),
+        "symbol_lines": _vote((F.col("n_lines") >= 2) & (per_line("n_symbol_lines") < 0.2), (per_line("n_symbol_lines") > 0.5) & (per_word("n_symbols") > 0.05)),
+        "capitals": _vote(per_char("n_upper").between(0.001, 0.1), per_char("n_upper") > 0.4),
+        "duplicate_lines": _vote((F.col("n_lines") >= 3) & (per_line("n_dup_lines") < 0.05), (per_line("n_dup_lines") > 0.3) & (F.col("n_dup_lines") >= 2)),
+        "repeated_windows": _vote((F.col("n_words") >= 30) & (per_word("n_repeat_words") < 0.1), per_word("n_repeat_words") > 0.35),
         "sentences": _vote(stops.between(0.02, 0.35), (F.col("n_words") >= 30) & ((stops < 0.002) | (stops > 0.8))),
     }
 
 
-def estimate(patterns: Sequence[tuple[tuple[int, ...], int]], share: float = 0.9, rounds: int = 200, tolerance: float = 1e-9) -> tuple[float, list[dict[int, float]]]:
+def estimate(
+    patterns: Sequence[tuple[tuple[int, ...], int]], share: float = 0.9, strength: float = 10.0, rounds: int = 500, tolerance: float = 1e-9
+) -> tuple[float, list[dict[int, float]]]:
     """(log-odds of good, per rule the log-odds that each vote adds), by expectation-maximisation.
 
-    Starts from rules that are right four times in five.  ``share``, the prior
-    chance of good, is given and held: abstentions carry no evidence, so votes
-    alone do not tell it.  Every vote keeps some smoothing mass, and accuracies
-    below chance are held at chance, which keeps the two classes from changing
-    places.
+    Starts from rules that are right four times in five.  The share of good
+    documents starts at ``share``, which weighs as much as ``strength``
+    documents; every vote keeps some smoothing mass; a rule whose votes fall
+    below chance counts as chance, which keeps the classes from changing places;
+    whether a rule abstains says nothing.
     """
     if not patterns:
         return 0.0, []
     n_rules = len(patterns[0][0])
     total = float(sum(n for _, n in patterns))
-    right, wrong = math.log(4.0), math.log(0.25)
-    odds = [{GOOD: right, NONE: 0.0, BAD: wrong} for _ in range(n_rules)]
+    odds = [{GOOD: math.log(4.0), NONE: 0.0, BAD: -math.log(4.0)} for _ in range(n_rules)]
     prior, previous = math.log(share / (1 - share)), None
     for _ in range(rounds):
-        seen = [[{GOOD: 1.0, NONE: 1.0, BAD: 0.1}, {GOOD: 0.1, NONE: 1.0, BAD: 1.0}] for _ in range(n_rules)]
+        seen = [[{GOOD: 0.8, BAD: 0.2}, {GOOD: 0.2, BAD: 0.8}] for _ in range(n_rules)]  # on good, on bad documents
         good = 0.0
-        for votes, n in patterns:
+        for votes, n in sorted(patterns):
             score = prior + sum(odds[j][v] for j, v in enumerate(votes))
             p = 1 / (1 + math.exp(-max(-700.0, min(700.0, score))))
             good += n * p
             for j, v in enumerate(votes):
-                seen[j][0][v] += n * p
-                seen[j][1][v] += n * (1 - p)
-        for j in range(n_rules):
-            sums = [sum(s.values()) for s in seen[j]]
-            new = {v: math.log(seen[j][0][v] / sums[0]) - math.log(seen[j][1][v] / sums[1]) for v in (GOOD, NONE, BAD)}
-            odds[j] = {GOOD: max(0.0, new[GOOD]), NONE: 0.0, BAD: min(0.0, new[BAD])}
+                if v != NONE:
+                    seen[j][0][v] += n * p
+                    seen[j][1][v] += n * (1 - p)
+        for j, (on_good, on_bad) in enumerate(seen):
+            right, wrong = on_good[GOOD] / (on_good[GOOD] + on_good[BAD]), on_bad[GOOD] / (on_bad[GOOD] + on_bad[BAD])
+            better = right > wrong
+            odds[j] = {GOOD: math.log(right / wrong) if better else 0.0, NONE: 0.0, BAD: math.log((1 - right) / (1 - wrong)) if better else 0.0}
+        prior = math.log((good + strength * share) / (total - good + strength * (1 - share)))
         if previous is not None and abs(good - previous) <= tolerance * total:
             break
         previous = good
@@ -179,15 +190,13 @@ def judge(docs: DataFrame, threshold: float = 0.5, share: float = 0.9) -> DataFr
     """One row per row of ``docs``: the counts, each rule's vote, posterior, base_failed and kept."""
     rules = rule_votes()
     names = [f"vote_{r}" for r in rules]
-    counted = settle(with_counts(docs).withColumns({f"vote_{r}": c.cast("int") for r, c in rules.items()}))
-    patterns = counted.groupBy(*names).count().collect()  # 3 ** len(rules) rows at most
+    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    votes = {f"vote_{r}": c.cast("int") for r, c in rules.items()}
+    counted = settle(with_counts(docs).withColumns(votes | {"base_failed": base}))
+    # 3 ** len(rules) rows at most; documents that the base limits drop would stand for a class of their own.
+    patterns = counted.where("not base_failed").groupBy(*names).count().collect()
     prior, odds = estimate([(tuple(r[n] for n in names), r["count"]) for r in patterns], share)
     score = F.lit(prior)
     for name, by in zip(names, odds, strict=False):
         score = score + F.when(F.col(name) == GOOD, F.lit(by[GOOD])).when(F.col(name) == BAD, F.lit(by[BAD])).otherwise(F.lit(0.0))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        counted.withColumn("base_failed", base)
-        .withColumn("posterior", 1 / (1 + F.exp(-score)))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
-    )
+    return counted.withColumn("posterior", 1 / (1 + F.exp(-score))).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))

@@ -56,6 +56,66 @@ def test_estimation_finds_the_reliable_rules():
     assert quality_rules.estimate([]) == (0.0, [])
 
 
+def slow_posteriors(rows, share=0.9, strength=10.0):
+    """Posteriors of rows of votes, row by row, without log-odds or patterns."""
+    n_rules = len(rows[0])
+    right, wrong, good = [0.8] * n_rules, [0.2] * n_rules, share
+
+    def posterior(row):
+        yes, no = good, 1 - good
+        for v, a, b in zip(row, right, wrong, strict=True):
+            if v and a > b:
+                yes, no = yes * (a if v > 0 else 1 - a), no * (b if v > 0 else 1 - b)
+        return yes / (yes + no)
+
+    before = None
+    for _ in range(500):
+        p = [posterior(r) for r in rows]
+        if before is not None and abs(sum(p) - before) <= 1e-9 * len(rows):
+            return p
+        before = sum(p)
+        for j in range(n_rules):
+            a = [(q, r[j]) for q, r in zip(p, rows, strict=True) if r[j]]
+            right[j] = (0.8 + sum(q for q, v in a if v > 0)) / (1 + sum(q for q, _ in a))
+            wrong[j] = (0.2 + sum(1 - q for q, v in a if v > 0)) / (1 + sum(1 - q for q, _ in a))
+        good = (sum(p) + strength * share) / (len(rows) + strength)
+    return p
+
+
+def test_verdicts_equal_a_plain_estimation_and_differ_from_all_must_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    every = quality_rules.judge(docs).collect()
+    assert not any(r["kept"] for r in every if r["base_failed"])
+    rows = [r for r in every if not r["base_failed"]]
+    votes = [[r[c] for c in rows[0].asDict() if c.startswith("vote_")] for r in rows]
+    want = slow_posteriors(votes)
+    assert max(abs(r["posterior"] - p) for r, p in zip(rows, want, strict=True)) < 1e-6
+    assert [r["kept"] for r in rows] == [p >= 0.5 for p in want]
+    assert {v for row in votes for v in row} == {-1, 0, 1}
+    assert len({r["posterior"] for r in rows}) > 5
+
+
+def test_a_weak_rule_is_outvoted():
+    rng = random.Random(6)
+    truth = [rng.random() < 0.9 for _ in range(3000)]
+    vote = lambda t, a: 1 if t == (rng.random() < a) else -1
+    rows = [(vote(t, 0.98), vote(t, 0.95), vote(t, 0.95), vote(t, 0.6)) for t in truth]
+    prior, odds = quality_rules.estimate(list(Counter(rows).items()))
+    kept = [prior + sum(odds[j][v] for j, v in enumerate(r)) > 0 for r in rows]
+    assert sum(k == t for k, t in zip(kept, truth, strict=True)) / len(rows) > 0.97
+    assert sum(k and -1 in r for k, r in zip(kept, rows, strict=True)) > 500
+    want = slow_posteriors(rows)
+    assert all(abs(1 / (1 + np.exp(-(prior + sum(odds[j][v] for j, v in enumerate(r))))) - p) < 1e-5 for r, p in zip(rows, want, strict=True))
+
+
+def test_windows_whose_hashes_meet(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "SPARE_BITS", 57)  # three or four bits of hash are left
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abc", k=rng.randint(0, 14))) for _ in range(300)]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.with_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: slow_counts(t)[4] for i, t in enumerate(texts)}
+
+
 def test_verdicts_follow_the_labels(spark):
     data = "/root/testdata/sf0.01"
     rows = quality_rules.judge(spark.read.parquet(f"{data}/documents.parquet")).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("not base_failed").collect()
