@@ -53,14 +53,14 @@ def few(df: DataFrame, rows: int) -> DataFrame:
 def look_up(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None, bound: int | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which has each key of ``on`` once, without gathering a frequent key's rows.
 
-    A table of at most ``BROADCAST_ROWS`` rows is broadcast.  Of a larger one
-    the ``HOT_KEYS`` keys with the most rows are, and their rows dealt out
-    evenly; any other key has less than a thousandth of the rows.  ``counts``
-    may give the keys' numbers of rows, or bounds on them, as ``_n``, and
-    ``bound`` a bound on the table's rows.  ``how`` is inner or left.  ``table``
-    is read more than once, so it should be settled.
+    A table of a few numbers a row, for which ``bound`` says that it has at most
+    ``BROADCAST_ROWS`` rows, is broadcast.  Of any other one the ``HOT_KEYS``
+    keys with the most rows are, and their rows dealt out evenly; any other key
+    has less than a thousandth of the rows.  ``counts`` may give the keys'
+    numbers of rows, or bounds on them, as ``_n``.  ``how`` is inner or left.
+    ``table`` is read more than once, so it should be settled.
     """
-    if (table.count() if bound is None else bound) <= BROADCAST_ROWS:
+    if bound is not None and bound <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), on, how).select(*rows.columns, *[c for c in table.columns if c not in on])
     values = [c for c in table.columns if c not in on]
     if counts is None:

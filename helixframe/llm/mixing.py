@@ -221,10 +221,10 @@ def mix(
         )
     )
     sources = source_table(sized, weights, share, max_repeats, block_words)
-    total_slots, largest = sources.agg(F.sum("slots"), F.max("n")).first()
+    total_slots, largest, n_sources = sources.agg(F.sum("slots"), F.max("n"), F.count("*")).first()
     slices = max(shuffle_partitions(spark), -(-(largest or 0) // ROWS_PER_SLICE))
     known = sources.select("key", "source_index", "source_size", "target")
-    indexed = look_up(sized, known, ["key"], counts=sources.select("key", F.col("n").alias("_n"))).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "row_key"))
+    indexed = look_up(sized, known, ["key"], counts=sources.select("key", F.col("n").alias("_n")), bound=n_sources).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "row_key"))
     indexed = indexed.withColumn("_slice", F.pmod("_h", F.lit(slices)))
     ahead = indexed.groupBy("source_index", "_slice").agg(F.sum("size").alias("_n"))
     over = Window.partitionBy("source_index").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

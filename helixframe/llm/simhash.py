@@ -483,11 +483,11 @@ def near_duplicates(
         links, known = links.unionByName(again.select("a", "b")), None
     if known is None:
         known = components(links, smallest=False).withColumnRenamed("component", "group")
-    joined = settle(look_up(nodes, known, ["node"], "left"))
+    joined = settle(nodes.join(known, "node", "left"))
     # Fingerprints alone in their component, the most of them, need no label from elsewhere.
     groups = settle(joined.where("group is not null").groupBy("group").agg(F.min("first").alias("label"), F.count("*").alias("_members")))
     many = groups.select("group", F.col("_members").alias("_n"))
-    owners = look_up(joined, groups.select("group", "label"), ["group"], "left", counts=many)
+    owners = look_up(joined, groups.select("group", "label"), ["group"], "left", counts=many, bound=groups.count())
     owners = settle(owners.select("print", F.coalesce("group", "node").alias("group"), F.coalesce("label", "first").alias("component_id"), "_n"))
     rows = look_up(prints, owners.drop("_n"), ["print"], counts=owners.select("print", "_n"))
     shown = F.lower(F.lpad(F.hex("print"), 16, "0")) if lanes == 1 else F.lower(F.hex("print"))
