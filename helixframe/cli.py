@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,7 +68,9 @@ def parser() -> argparse.ArgumentParser:
 
 def _give(df: DataFrame, output: str | None) -> None:
     if output is None:
-        df.show(50, truncate=False)
+        print("\t".join(df.columns))
+        for row in df.toLocalIterator():  # all rows, a partition at a time
+            print("\t".join(map(str, row)))
     elif output.endswith(".npz"):
         sinks.save_npz(df, output, df.columns[0])
     else:
@@ -83,7 +86,10 @@ def _rna(spark: SparkSession, a: argparse.Namespace) -> None:
         seqs = cleaning.zip_ids(lines, ids) if ids is not None else lines.withColumn("sample_id", F.concat(F.lit("s"), "pos"))
     else:
         raise SystemExit("rna needs --seqs or --seqs_csv")
-    seqs = cleaning.preprocess(seqs.select("sample_id", "seq"), not a.no_upper, not a.keep_t, strict=a.strict)
+    raw, options = seqs.select("sample_id", "seq"), {"to_upper": not a.no_upper, "replace_t_with_u": not a.keep_t}
+    if not a.strict and (dropped := cleaning.dropped_count(raw, **options)):
+        print(f"warning: {dropped} sequences with letters outside the alphabet are left out", file=sys.stderr)
+    seqs = cleaning.preprocess(raw, **options, strict=a.strict)
     if a.save_clean:
         sinks.save_clean(seqs, a.save_clean)
     props = None

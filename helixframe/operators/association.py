@@ -86,7 +86,7 @@ def choose_y(from_sequences: DataFrame, from_pair_file: DataFrame | None = None,
 def full_grid(y: DataFrame) -> DataFrame:
     """(lnc, disease, value) for every lnc and every disease of y, 0 where y has no cell."""
     lncs, diseases = y.select("lnc").distinct(), y.select("disease").distinct()
-    return lncs.crossJoin(F.broadcast(diseases)).join(y, ["lnc", "disease"], "left").select("lnc", "disease", F.coalesce("value", F.lit(0)).alias("value"))
+    return lncs.crossJoin(diseases).join(y, ["lnc", "disease"], "left").select("lnc", "disease", F.coalesce("value", F.lit(0)).alias("value"))
 
 
 def to_wide(y: DataFrame, diseases: Sequence[str] | None = None) -> DataFrame:

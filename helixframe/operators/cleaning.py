@@ -18,7 +18,7 @@ def preprocess(
 ) -> DataFrame:
     """``seqs`` with ``seq`` stripped, upper-cased and written with U, without the rows that have other letters.
 
-    ``strict`` makes such a row an error when the plan runs.  Empty sequences
+    ``strict`` makes such a row an error, which names it, when the plan runs.  Empty sequences
     stay, null ones go (an error if ``strict``).  N is in the default alphabet
     though the features refuse it.
     """
@@ -28,7 +28,8 @@ def preprocess(
     rows = seqs.withColumn("seq", s)
     bad = F.col("seq").isNull() | (F.translate("seq", valid_alphabet, "") != "")
     if strict:
-        return rows.withColumn("seq", F.when(bad, F.raise_error(F.concat(F.lit("letters outside the alphabet: "), F.coalesce("seq", F.lit("null"))))).otherwise(F.col("seq")))
+        whose = F.concat(F.lit(" in "), F.coalesce(F.col("sample_id").cast("string"), F.lit("null"))) if "sample_id" in seqs.columns else F.lit("")
+        return rows.withColumn("seq", F.when(bad, F.raise_error(F.concat(F.lit("letters outside the alphabet"), whose, F.lit(": "), F.coalesce("seq", F.lit("null"))))).otherwise(F.col("seq")))
     return rows.where(~bad)
 
 

@@ -10,17 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Where that is unset, a folder in the warehouse is used, which a cluster
-    shares; a session whose executors are threads of the driver (tests, a
-    laptop) uses a temporary one.
+    Where that is unset, a session whose executors are threads of the driver
+    (tests, a laptop) uses a temporary one; on a cluster it is an error, as no
+    folder is known that its machines share.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     master = spark.sparkContext.master
-    one_process = master == "local" or master.startswith("local[")
-    top = tempfile.gettempdir() if one_process else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top}/helixframe-checkpoints"
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/helixframe-checkpoints"
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -30,9 +30,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table over all cores, where its files give fewer splits than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTUacgtu]", "")
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), letters.alias("seq"))
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").cast("string").alias("sample_id"), letters.alias("seq"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
