@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, secrets, simhash, tool_calls, toxicity, url_filter
 from helixframe.llm.common import id_remainder
+from helixframe.plans.queries import spread
 
 URL_RULES = (
     ("com/", "allow"),
@@ -21,7 +22,8 @@ URL_RULES = (
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name == "documents" else table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
