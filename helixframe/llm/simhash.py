@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import in_slices, look_up, row_key, row_name, settle, text_or_empty
+from helixframe.llm.common import TASK_ROWS, few, in_slices, look_up, row_key, row_name, settle, text_or_empty
 from helixframe.llm.graph import components
 
 #: Members of a key that one task compares; larger keys take the other way.
@@ -238,9 +238,11 @@ def _free_bits(bits: int, blocks: int, agreeing: int) -> list[list[int]]:
     return [[b for i in range(blocks) if i not in chosen for b in range(edges[i], edges[i + 1])] for chosen in combinations(range(blocks), agreeing)]
 
 
-def links_within(nodes: DataFrame, max_distance: int = 2, blocks: int = 4, group_rows: int = GROUP_ROWS) -> DataFrame:
+def links_within(nodes: DataFrame, max_distance: int = 2, blocks: int = 4, group_rows: int = GROUP_ROWS, texts: int | None = None) -> DataFrame:
     """Links (a, b) that connect whatever ``nodes(node, print)`` lie within ``max_distance`` bits, prints distinct.
 
+    ``texts``, where given, is their number; tables are then written in as few files as it asks for.
+
     Exact: the links' components are those of all pairs within the distance.
     """
     if max_distance not in (1, 2):
@@ -248,7 +250,8 @@ def links_within(nodes: DataFrame, max_distance: int = 2, blocks: int = 4, group
     agreeing = blocks - max_distance
     choices = F.posexplode(block_keys("print", 64, blocks, agreeing)).alias("choice", "key")
     keyed = nodes.select("node", "print", choices)
-    hot = settle(keyed.groupBy("key").count().where(F.col("count") > group_rows).select("key"))
+    hot = keyed.groupBy("key").count().where(F.col("count") > group_rows).select("key")
+    hot = settle(hot if texts is None else few(hot, texts * math.comb(blocks, agreeing)))
     n_hot = hot.count()
     if not n_hot:
         usual, crowded = keyed, None
@@ -300,6 +303,13 @@ def _keys_of(prints: list[bytes], places: np.ndarray, numbers: list[int], total:
 
 #: Prints whose keys are in memory at a time.
 _PRINTS = 2048
+#: Prints that make a task worth its start, where each is dealt by many blocks.
+_TASK_PRINTS = 4096
+
+
+def _worth(df: DataFrame, texts: int) -> DataFrame:
+    """``df``, which has a print of each of ``texts`` at most, in as many partitions as dealing them is worth."""
+    return df.coalesce(max(1, -(-texts // _TASK_PRINTS)))
 
 
 def _deal(places: np.ndarray, numbers: list[int], counts: bool):
@@ -329,8 +339,8 @@ def _rounds(count: int) -> list[list[int]]:
 class _Blocks:
     """Components of ``nodes(node, print)`` that grow as links are found; see ``links_by_block``."""
 
-    def __init__(self, nodes: DataFrame, lanes: int, places: np.ndarray, max_distance: int, group_rows: int) -> None:
-        self.state = settle(nodes.select("node", "print", F.col("node").alias("component")))
+    def __init__(self, nodes: DataFrame, lanes: int, places: np.ndarray, max_distance: int, group_rows: int, texts: int) -> None:
+        self.state, self.texts = nodes.select("node", "print", F.col("node").alias("component")), texts
         self.lanes, self.places, self.max_distance, self.group_rows = lanes, places, max_distance, group_rows
         self.links: list[DataFrame] = []
 
@@ -340,18 +350,21 @@ class _Blocks:
     def crowded(self, numbers: list[int]) -> DataFrame | None:
         """(key, members) of the keys with more than ``group_rows`` prints."""
         counts = self.state.select("print").mapInArrow(_deal(self.places, numbers, True), "key long, n long")
-        found = settle(counts.groupBy("key").agg(F.sum("n").alias("members")).where(F.col("members") > self.group_rows))
+        crowded = counts.groupBy("key").agg(F.sum("n").alias("members")).where(F.col("members") > self.group_rows)
+        found = settle(few(crowded, self.texts * len(numbers)))
         return None if found.isEmpty() else found
 
     def link(self, keyed: DataFrame) -> None:
         """Compare ``keyed(key, node, print)`` within keys and join what is linked."""
         dealt = keyed.select("key", "node", "print").repartition("key").sortWithinPartitions("key")
-        links = settle(dealt.mapInArrow(_within_keys(self.max_distance, self.lanes), "a long, b long"))
+        # Compared by all tasks, written by few: links of what was not connected yet are short rows, and not many.
+        links = dealt.mapInArrow(_within_keys(self.max_distance, self.lanes), "a long, b long")
+        links = settle(links.repartition(max(1, -(-self.texts // TASK_ROWS))))
         self.links.append(links)
         found = components(links, smallest=False).select(F.col("node").alias("component"), F.col("component").alias("_new"))
         if n := found.count():
             moved = look_up(self.state, found, ["component"], "left", bound=n)
-            self.state = settle(moved.select("node", "print", F.coalesce("_new", "component").alias("component")))
+            self.state = settle(_worth(moved.select("node", "print", F.coalesce("_new", "component").alias("component")), self.texts))
 
     def run(self) -> None:
         total, full = len(self.places), []
@@ -396,7 +409,8 @@ def links_by_block(nodes: DataFrame, lanes: int, blocks: int, max_distance: int,
     parts meet two at a time, unless one component fills both.  So the result
     does not depend on ``group_rows``.
     """
-    found = _Blocks(nodes, lanes, _places(lanes, blocks, strided), max_distance, group_rows)
+    nodes = settle(nodes.select("node", "print"))
+    found = _Blocks(nodes, lanes, _places(lanes, blocks, strided), max_distance, group_rows, nodes.count())
     found.run()
     links = found.links[0]
     for more in found.links[1:]:
@@ -464,13 +478,13 @@ def near_duplicates(
     prints = settle(fingerprints(docs, words, lanes, distinct, with_key))
     # Nodes are numbers of their own, so rows without an identifier link like others.
     firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n"))
-    nodes = settle(firsts.withColumn("node", F.monotonically_increasing_id()))
+    nodes = settle(_worth(firsts, prints.count()).withColumn("node", F.monotonically_increasing_id()))
     texts = nodes.count()
-    nodes = nodes.coalesce(max(1, -(-texts // _PRINTS)))
     if lanes == 1:
-        links, known = links_within(nodes.select("node", "print"), max_distance, blocks, group_rows), None
+        links, known = links_within(nodes.select("node", "print"), max_distance, blocks, group_rows, texts), None
+        links = links.repartition(max(1, -(-texts // TASK_ROWS)))
     else:
-        found = _Blocks(nodes.select("node", "print"), lanes, blocks_for(texts, lanes, blocks, strided, members), max_distance, group_rows)
+        found = _Blocks(nodes.select("node", "print"), lanes, blocks_for(texts, lanes, blocks, strided, members), max_distance, group_rows, texts)
         found.run()
         links = found.state.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         known = found.state.where("node <> component").select("node", F.col("component").alias("group"))
@@ -478,17 +492,18 @@ def near_duplicates(
     # An identifier that several fingerprints share links them.
     shared = nodes.where("first is not null").groupBy("first").agg(F.min("node").alias("a"), F.count("*").alias("_n")).where("_n > 1")
     if not shared.isEmpty():
-        shared = settle(shared)
+        shared = settle(few(shared, texts))
         again = look_up(nodes.select("first", F.col("node").alias("b")), shared.select("first", "a"), ["first"], counts=shared.select("first", "_n"))
         links, known = links.unionByName(again.select("a", "b")), None
     if known is None:
         known = components(links, smallest=False).withColumnRenamed("component", "group")
-    joined = settle(nodes.join(known, "node", "left"))
+    joined = settle(few(nodes.join(known, "node", "left"), texts))
     # Fingerprints alone in their component, the most of them, need no label from elsewhere.
-    groups = settle(joined.where("group is not null").groupBy("group").agg(F.min("first").alias("label"), F.count("*").alias("_members")))
+    grouped = joined.where("group is not null").groupBy("group").agg(F.min("first").alias("label"), F.count("*").alias("_members"))
+    groups = settle(few(grouped, texts))
     many = groups.select("group", F.col("_members").alias("_n"))
     owners = look_up(joined, groups.select("group", "label"), ["group"], "left", counts=many, bound=groups.count())
-    owners = settle(owners.select("print", F.coalesce("group", "node").alias("group"), F.coalesce("label", "first").alias("component_id"), "_n"))
+    owners = settle(few(owners.select("print", F.coalesce("group", "node").alias("group"), F.coalesce("label", "first").alias("component_id"), "_n"), texts))
     rows = look_up(prints, owners.drop("_n"), ["print"], counts=owners.select("print", "_n"))
     shown = F.lower(F.lpad(F.hex("print"), 16, "0")) if lanes == 1 else F.lower(F.hex("print"))
     return rows.select("doc_id", shown.alias("fingerprint"), "component_id", *["row_key", "group"] * with_key)

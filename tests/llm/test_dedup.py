@@ -110,14 +110,29 @@ def test_links_stay_fewer_than_rows_in_a_dense_group():
         assert len(links) == size - 1
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("tail", [0, 40, graph.TAIL_EDGES])
+def test_components_of_chains_and_stars(spark, tail):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 260)] + [(7, 7), (None, 3), (161, 160)]
     rng.shuffle(links)
-    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long"), tail=tail).collect()}
     assert got == {i: 100 for i in range(100, 162)} | {i: 5 for i in [5, *range(200, 260)]}
 
 
+def test_labels_that_one_task_finds():
+    rng = np.random.default_rng(3)
+    for n, m in ((2, 1), (50, 30), (400, 380), (400, 2000)):
+        a, b = rng.integers(0, n, m) * 7 - 90, rng.integers(0, n, m) * 7 - 90
+        nodes, labels = graph.joined_labels(a, b)
+        least = {int(v): int(v) for v in nodes}
+        while any(least[x] != least[y] for x, y in zip(a.tolist(), b.tolist(), strict=True)):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                least[x] = least[y] = min(least[x], least[y])
+        assert dict(zip(nodes.tolist(), labels.tolist(), strict=True)) == least
+    chain = rng.permutation(5000)
+    assert (graph.joined_labels(chain[:-1], chain[1:])[1] == 0).all()
+
+
 @pytest.mark.parametrize("which", ["edge", "clashing"])
 def test_one_row_of_each_component_stays(request, which):
     df = request.getfixturevalue(which)
