@@ -1,4 +1,7 @@
 import json
+import sys
+from contextlib import nullcontext
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -37,6 +40,71 @@ def test_encoders(spark):
         embedding.sequence_embeddings(seqs, "missing")
 
 
+def test_columns_and_layers_of_encoders(spark):
+    seqs = spark.createDataFrame([("a", "acgtn"), ("b", "G")], "sample_id string, seq string")
+    wide = embedding.sequence_embeddings(seqs, "toy", return_format="dataframe")
+    assert wide.columns == ["sample_id", "f0", "f1", "f2"]
+    assert {r[0]: list(r[1:]) for r in wide.collect()} == {r[0]: r[1] for r in embedding.sequence_embeddings(seqs, "toy").collect()}
+    assert embedding.token_embeddings(seqs, "toy", return_format="dataframe").columns == ["sample_id", "token_index", "f0", "f1", "f2"]
+    assert embedding.chunked_embeddings(seqs, "toy", return_format="dataframe").columns == wide.columns
+
+    def layered(layer=0):
+        return lambda batch: [np.full((len(s), 1), float(layer)) for s in batch]
+
+    embedding.register_encoder("layered", layered)
+    assert [r["features"] for r in embedding.token_embeddings(seqs.limit(1), "layered", layer=2).collect()] == [[2.0]] * 5
+    with pytest.raises(ValueError, match="hidden_size"):
+        embedding.sequence_embeddings(seqs, "layered", return_format="dataframe")
+    with pytest.raises(ValueError, match="return_format"):
+        embedding.sequence_embeddings(seqs, "toy", return_format="rows")
+
+
+def test_pretrained_encoder(monkeypatch):
+    """With stand-ins for torch and transformers, which are not here: masked tokens, layers, device and number type."""
+
+    class Tensor:
+        def __init__(self, values):
+            self.values = np.asarray(values)
+
+        def to(self, device):
+            assert device == "cpu"
+            return self
+
+        float = cpu = lambda self: self
+
+        def numpy(self):
+            return self.values
+
+    class Network:
+        def to(self, device):
+            return self
+
+        def eval(self):
+            return self
+
+        def __call__(self, input_ids, attention_mask, output_hidden_states):
+            layers = [Tensor(input_ids.values[..., None] * np.array([1.0, n])) for n in range(3)]
+            return SimpleNamespace(last_hidden_state=layers[-1], hidden_states=layers if output_hidden_states else None)
+
+    def tokenizer(batch, return_tensors, padding, truncation):
+        longest = max(map(len, batch))
+        ids = [[ord(c) for c in s] + [0] * (longest - len(s)) for s in batch]
+        return {"input_ids": Tensor(ids), "attention_mask": Tensor(np.array(ids) > 0)}
+
+    asked = {}
+    load = lambda name, torch_dtype: asked.update(name=name, dtype=torch_dtype) or Network()
+    torch = SimpleNamespace(cuda=SimpleNamespace(is_available=lambda: False), float32="f32", no_grad=nullcontext)
+    transformers = SimpleNamespace(
+        AutoTokenizer=SimpleNamespace(from_pretrained=lambda name: tokenizer), AutoModel=SimpleNamespace(from_pretrained=load)
+    )
+    monkeypatch.setitem(sys.modules, "torch", torch)
+    monkeypatch.setitem(sys.modules, "transformers", transformers)
+    last = embedding._factory("hf:some/model", None)()
+    assert asked == {"name": "some/model", "dtype": "f32"}
+    assert [v.tolist() for v in last(["AC", "G"])] == [[[65, 130], [67, 134]], [[71, 142]]]
+    assert [v.tolist() for v in embedding._factory("hf:some/model", 1)()(["AC", "G"])] == [[[65, 65], [67, 67]], [[71, 71]]]
+
+
 def test_registry(spark):
     assert registry.list_domains() == ["cross", "disease", "nn", "rna"]
     assert sorted(registry.domain("RNA")) == list(range(1, 13))
