@@ -16,17 +16,19 @@ they already agree with it.  Arguments are validated against the tool's JSON
 schema, and every message is serialised as canonical JSON: keys sorted, no
 spaces, shortest numbers.
 
-One row per message, so no conversation is ever gathered in one task: links and
-dependencies are joins, and the order of conversations in which a message comes
-before what it depends on is relaxed along them until it stands still.
+One row per message: links and dependencies are joins, and only conversations
+in which a message comes before what it depends on are ordered at all.  The
+dependencies of one of them go to one task where they are at most
+``GROUP_EDGES``; longer ones are ordered in rounds over all tasks.
 
 Edge cases: a null text is an empty message; a null role is the empty string.
 Tagged text that is not a JSON object with a string ``id`` stays part of the
 message and counts as malformed, and so does JSON nested more than ``MAX_DEPTH``
 deep.  Bytes that are not UTF-8 count as U+FFFD; half of a surrogate pair stays
-the escape that it was in the JSON.  On a dependency cycle the messages at which
-it is noticed stop moving and are marked ``cycle``.  A null
-conversation links nothing.  Repeated rows are messages of their own.  An empty
+the escape that it was in the JSON.  Messages on a dependency cycle, or depending
+on one, follow only what does not, and are marked ``cycle``.  A null
+conversation links nothing; a message without a turn stays without, and moves
+no other.  Repeated rows are messages of their own.  An empty
 table gives no rows.  Extra columns are ignored.
 """
 
@@ -35,13 +37,14 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import in_slices, settle
+from helixframe.llm.common import in_slices, look_up, settle
 
 #: Nesting of JSON that is read; deeper text is left as it is.
 MAX_DEPTH = 200
@@ -197,42 +200,86 @@ _SCHEMA = (
 )
 
 
-def _ordered(edges: DataFrame) -> DataFrame:
-    """(node, order_turn, order_level, cycle) of the nodes of ``edges(conv_id, before, before_turn, after, after_turn)``.
+#: Dependencies of one conversation that one task orders by itself; longer conversations are ordered in rounds, to the same result.
+GROUP_EDGES = 200_000
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows(conv_id, id, turn, node, at, ...)`` with k, each row's number from 1 among those of its conversation and identifier.
 
-    A chain without a cycle has fewer steps than its conversation has linked
-    messages; whatever still moves after that many rounds is on or behind a
-    cycle, and stops.  So the rounds are bounded by the longest conversation.
+    Ranges of the sorted rows are numbered by themselves, so one identifier may
+    fill many of them; then each range's first identifier moves on by what
+    earlier ranges hold of it.  That table has fewer rows than there are ranges.
     """
-    ends = edges.select("conv_id", F.col("before").alias("node"), F.col("before_turn").alias("order_turn")).unionByName(
-        edges.select("conv_id", F.col("after").alias("node"), F.col("after_turn").alias("order_turn"))
+    place = ["turn", "node", "at"]
+    ranged = rows.repartitionByRange("conv_id", "id", *place).withColumn("_range", F.spark_partition_id())
+    local = settle(ranged.withColumn("k", F.row_number().over(Window.partitionBy("_range", "conv_id", "id").orderBy(*place))))
+    held = local.groupBy("conv_id", "id", "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("conv_id", "id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = held.withColumn("_on", F.sum("_n").over(earlier)).where("_on is not null").select("conv_id", "id", "_range", "_on")
+    joined = local.join(F.broadcast(moved), ["conv_id", "id", "_range"], "left")
+    return joined.withColumn("k", F.col("k") + F.coalesce("_on", F.lit(0))).drop("_range", "_on")
+
+
+def _placed(edges: pa.Table) -> pa.Table:
+    """(node, order_turn, order_level, cycle) of one conversation's edges."""
+    place, follows, waits = {}, defaultdict(list), Counter()
+    for row in edges.select(["before", "before_turn", "after", "after_turn"]).to_pylist():
+        place[row["before"]], place[row["after"]] = (row["before_turn"], 0), (row["after_turn"], 0)
+        follows[row["before"]].append(row["after"])
+        waits[row["after"]] += 1
+    ready = [node for node in place if not waits[node]]
+    for node in ready:  # grows
+        turn, level = place[node]
+        for later in follows[node]:
+            if turn is not None and place[later][0] is not None:
+                place[later] = max(place[later], (turn, level + 1))
+            waits[later] -= 1
+            if not waits[later]:
+                ready.append(later)
+    turns, levels = zip(*place.values(), strict=True)
+    return pa.table(
+        {"node": pa.array(place, pa.int64()), "order_turn": pa.array(turns, pa.int64()), "order_level": pa.array(levels, pa.int64()), "cycle": pa.array([waits[n] > 0 for n in place])}
     )
-    nodes = ends.distinct()
-    sized = nodes.join(nodes.groupBy("conv_id").agg(F.count("*").alias("linked")), "conv_id").drop("conv_id")
-    order = settle(sized.withColumns({"order_level": F.lit(0).cast("long"), "cycle": F.lit(False)}))
-    step = 0
-    while True:
-        step += 1
-        here = order.select(F.col("node").alias("before"), F.col("order_turn").alias("t"), F.col("order_level").alias("l"))
-        # The largest (turn, level + 1) that any predecessor asks for; a level counts only at the same turn.
-        asked = edges.join(here, "before").groupBy(F.col("after").alias("node")).agg(F.max(F.struct("t", (F.col("l") + 1).alias("l"))).alias("asked"))
-        late = (F.col("asked.t") > F.col("order_turn")) | ((F.col("asked.t") == F.col("order_turn")) & (F.col("asked.l") > F.col("order_level")))
-        late = F.coalesce(late, F.lit(False)) & ~F.col("cycle")
-        stuck = late & (F.lit(step) > F.col("linked"))
-        moved = late & ~stuck
-        new = settle(
+
+
+def _placed_in_rounds(edges: DataFrame) -> DataFrame:
+    """What ``_placed`` gives, for conversations of any length.
+
+    Each round places the messages whose dependencies all have their place, so
+    there are as many as the longest chain has steps.  What is left when a round
+    places none lies on or behind a cycle.
+    """
+    ends = [edges.select(F.col(e).alias("node"), F.col(f"{e}_turn").alias("order_turn")) for e in ("before", "after")]
+    waits = edges.groupBy(F.col("after").alias("node")).agg(F.count("*").alias("waits"))
+    order = settle(
+        ends[0].unionByName(ends[1]).distinct().join(waits, "node", "left")
+        .select("node", "order_turn", F.lit(0).cast("long").alias("order_level"), F.coalesce("waits", F.lit(0)).alias("waits"))
+    )
+    counts = settle(edges.groupBy("before").agg(F.count("*").alias("_n")))
+    pairs = edges.select("before", "after")
+    while not order.where("waits = 0").isEmpty():
+        here = order.where("waits = 0").select(F.col("node").alias("before"), F.col("order_turn").alias("t"), (F.col("order_level") + 1).alias("l"))
+        asked = look_up(pairs, here, ["before"], counts=counts).groupBy(F.col("after").alias("node")).agg(F.count("*").alias("n"), F.max(F.struct("t", "l")).alias("asked"))
+        later = (F.col("asked.t") > F.col("order_turn")) | ((F.col("asked.t") == F.col("order_turn")) & (F.col("asked.l") > F.col("order_level")))
+        order = settle(
             order.join(asked, "node", "left").select(
                 "node",
-                F.when(moved, F.col("asked.t")).otherwise(F.col("order_turn")).alias("order_turn"),
-                F.when(moved, F.col("asked.l")).otherwise(F.col("order_level")).alias("order_level"),
-                "linked",
-                (F.col("cycle") | stuck).alias("cycle"),
-                late.alias("moved"),
+                F.when(later, F.col("asked.t")).otherwise(F.col("order_turn")).alias("order_turn"),
+                F.when(later, F.col("asked.l")).otherwise(F.col("order_level")).alias("order_level"),
+                F.when(F.col("waits") == 0, -1).otherwise(F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"),
             )
         )
-        order = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return order.drop("linked")
+    return order.select("node", "order_turn", "order_level", (F.col("waits") > 0).alias("cycle"))
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    """(node, order_turn, order_level, cycle) of the nodes of ``edges(conv_id, before, before_turn, after, after_turn)``."""
+    long = settle(edges.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_EDGES).select("conv_id"))
+    short = edges.join(long, "conv_id", "left_anti").groupBy("conv_id").applyInArrow(_placed, "node long, order_turn long, order_level long, cycle boolean")
+    if long.isEmpty():
+        return short
+    return short.unionByName(_placed_in_rounds(settle(edges.join(long, "conv_id", "left_semi"))))
 
 
 def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping] | None = None) -> DataFrame:
@@ -246,11 +293,11 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping] | None =
     readable = [F.make_valid_utf8(F.col(c).cast("string")).alias(c) for c in ("role", "text")]
     source = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *readable)
     rows = settle(source.mapInArrow(_parse(dict(schemas or {})), _SCHEMA).withColumn("node", F.monotonically_increasing_id()))
-    pick = Window.partitionBy("conv_id", "id").orderBy("turn", "node", "at")
-    calls = rows.select("conv_id", "turn", "node", F.posexplode("calls").alias("at", "call"))
-    calls = calls.select("conv_id", "turn", "node", "at", "call.id", "call.needs").withColumn("k", F.row_number().over(pick))
-    results = rows.select("conv_id", "turn", "node", F.posexplode("results").alias("at", "result"))
-    results = results.select("conv_id", "turn", "node", "at", "result.id").withColumn("k", F.row_number().over(pick))
+    talks = rows.where("conv_id is not null")
+    calls = talks.select("conv_id", "turn", "node", F.posexplode("calls").alias("at", "call"))
+    calls = _numbered(calls.select("conv_id", "turn", "node", "at", "call.id", "call.needs"))
+    results = talks.select("conv_id", "turn", "node", F.posexplode("results").alias("at", "result"))
+    results = _numbered(results.select("conv_id", "turn", "node", "at", "result.id"))
     answers = results.select("conv_id", "id", "k", F.col("node").alias("result_node"), F.col("turn").alias("result_turn"))
     linked = settle(calls.join(answers, ["conv_id", "id", "k"]).select("conv_id", "id", "k", "needs", "node", "turn", "result_node", "result_turn"))
 
@@ -258,7 +305,8 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping] | None =
     matched = linked.groupBy(F.col("result_node").alias("node")).agg(F.count("*").alias("n_matched"))
     follows = linked.select("conv_id", F.col("node").alias("before"), F.col("turn").alias("before_turn"), F.col("result_node").alias("after"), F.col("result_turn").alias("after_turn"))
     first = linked.where("k = 1").select("conv_id", F.col("id").alias("need"), F.col("result_node").alias("before"), F.col("result_turn").alias("before_turn"))
-    needs = calls.select("conv_id", F.col("node").alias("after"), F.col("turn").alias("after_turn"), F.explode("needs").alias("need")).join(first, ["conv_id", "need"])
+    needs = calls.select("conv_id", F.col("node").alias("after"), F.col("turn").alias("after_turn"), F.explode("needs").alias("need"))
+    needs = look_up(needs, first, ["conv_id", "need"])
     edges = settle(follows.unionByName(needs.select("conv_id", "before", "before_turn", "after", "after_turn")).where("before <> after").distinct())
     late = edges.where("after_turn <= before_turn").select("conv_id").distinct()
     out = rows.join(answered, "node", "left").join(matched, "node", "left")

@@ -262,3 +262,51 @@ def test_order_equals_a_plain_search(spark):
                 want[conv, nodes[key]] = place[key]
     got = tool_calls.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {(r["conv_id"], r["turn"]): (r["order_turn"], r["order_level"]) for r in got} == want
+
+
+def test_cycles_and_long_conversations(spark, monkeypatch):
+    """Random graphs with and without cycles: one task, rounds and a plain search agree on place and cycle."""
+    import random
+
+    rng = random.Random(11)
+    rows, want = [], {}
+    for conv in range(8):
+        n = 10
+        needs = {i: sorted(rng.sample(range(n), rng.randint(0, 1 + conv % 2))) for i in range(n)}
+        turns = rng.sample(range(50), 2 * n)
+        node = {("call", i): turns[i] for i in range(n)} | {("result", i): turns[n + i] for i in range(n)}
+        before = {("result", i): [("call", i)] for i in range(n)} | {("call", i): [("result", j) for j in needs[i]] for i in range(n)}
+        for (kind, i), turn in node.items():
+            rows.append((conv, turn, kind, call("search", f"t{i}", q="x", n=[{"$ref": f"t{j}"} for j in needs[i]]) if kind == "call" else result(f"t{i}", 1)))
+        place = {}
+        while fresh := [k for k in node if k not in place and all(b in place for b in before[k])]:
+            for k in fresh:
+                t, level = max([place[b] for b in before[k]], default=(-1, -1))
+                place[k] = (t, level + 1) if t >= node[k] else (node[k], 0)
+        for k in node:
+            t, level = max([place[b] for b in before[k] if b in place], default=(-1, -1))
+            want[conv, node[k]] = (*((t, level + 1) if t >= node[k] else (node[k], 0)), k not in place)
+    assert {c for *_, c in want.values()} == {True, False}
+    df = spark.createDataFrame([*rows, (0, None, "call", call("search", "t0", q={"$ref": "t1"}))], "conv_id long, turn long, role string, text string")
+    for bound in (tool_calls.GROUP_EDGES, 12):
+        monkeypatch.setattr(tool_calls, "GROUP_EDGES", bound)
+        got = tool_calls.link_tool_calls(df.where("turn is not null")).collect()
+        assert {(r["conv_id"], r["turn"]): (r["order_turn"], r["order_level"], "cycle" in r["status"].split(",")) for r in got} == want
+        unplaced = [r for r in tool_calls.link_tool_calls(df).collect() if r["turn"] is None]
+        assert [r["order_turn"] for r in unplaced] == [None]
+
+
+def test_numbers_of_a_frequent_identifier(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    key = F.when(F.col("node") % 3 == 0, 0).otherwise(F.col("node") % 40)
+    rows = spark.range(6000).select(F.col("id").alias("node")).select("node", (key % 4).alias("conv_id"), key.cast("string").alias("id"), F.xxhash64("node").alias("turn"), F.lit(0).alias("at"))
+    want = rows.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "id").orderBy("turn", "node", "at")))
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbers = lambda df: {(r["node"], r["k"]) for r in df.collect()}
+        assert numbers(tool_calls._numbered(rows)) == numbers(want)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
