@@ -109,6 +109,17 @@ def labelled_rows(labels: DataFrame, label: str, fold: Column, limit: int, seed:
     return rows
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, fold: Column, limit: int) -> DataFrame:
+    """(doc_id, text, label) of the documents that ``labelled_rows`` names, one row an identifier.
+
+    Where rows of ``docs`` repeat an identifier, the text whose hash is least
+    stands for them, so no number of repeats makes the sample larger.
+    """
+    rows = F.broadcast(labelled_rows(labels, label, fold, limit).select(F.col("doc_id").alias("_id"), "label"))  # about limit rows
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(rows, F.col("doc_id") == F.col("_id"))
+    return chosen.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+
+
 #: Rows whose texts a Python worker holds as strings at a time.
 ROWS_AT_ONCE = 512
 

@@ -14,8 +14,10 @@ size, so it can be broadcast, and every document is scored on its whole text.
 
 Edge cases: a null or empty text has zero vectors and gets the score that the
 network gives these; bytes that are not UTF-8 count as U+FFFD.  Labels that are null are left out; without labels of both
-classes every score is the share of label 1 (0.5 without any).  Repeated rows
-repeat.  An empty table gives no rows.  Extra columns are ignored.
+classes every score is the share of label 1 (0.5 without any), and
+``keep_quality`` keeps every row, as such a score tells no document from
+another.  Repeated rows
+repeat; in the labelled sample an identifier counts once.  An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import in_slices, labelled_rows, partial_sums, settle, summed, text_or_empty, texts_of
+from helixframe.llm.common import in_slices, labelled_texts, partial_sums, settle, summed, text_or_empty, texts_of
 
 BUCKETS, WIDTH, NONZERO, REACH = 1 << 16, 32, 4, 2
 HIDDEN, EPOCHS, BATCH = 32, 80, 256
@@ -151,8 +153,7 @@ def train_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, seed: int)
 
 def fit_quality(docs: DataFrame, labels: DataFrame, fold: Column, fit_rows: int = 8000, seed: int = 5) -> QualityModel | float:
     """The model, or a constant score where the labelled rows hold one class at most."""
-    rows = F.broadcast(labelled_rows(labels, "quality", fold, fit_rows).select(F.col("doc_id").alias("_id"), "label"))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(rows, F.col("doc_id") == F.col("_id"))
+    chosen = labelled_texts(docs, labels, "quality", fold, fit_rows)
     sample = settle(chosen.select("doc_id", "text", "label").repartition(FIT_TASKS, "doc_id"))
     partials = sample.select("text").coalesce(FIT_TASKS).mapInArrow(_context_sums(seed), "slice int, part binary")
     vectors = summed(partials, np.float32).astype(np.float64)
@@ -195,9 +196,9 @@ def score_quality(docs: DataFrame, model: QualityModel | float) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, model: QualityModel | float, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns, without a shuffle."""
+    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns, without a shuffle; all of them under a constant score."""
     if isinstance(model, float):
-        return docs if model >= threshold else docs.limit(0)
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

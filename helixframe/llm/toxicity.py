@@ -15,7 +15,8 @@ can be broadcast, and every document is scored on its whole text.
 
 Edge cases: bytes that are not UTF-8 count as U+FFFD.  A null or empty text has no features and gets the score of the
 intercept.  Labels that are null are left out; without labels of both classes
-every score is the share of label 1 (0 without any).  Repeated rows repeat.  An
+every score is the share of label 1 (0 without any).  Repeated rows repeat; in the
+labelled sample an identifier counts once.  An
 empty table gives no rows.  Extra columns are ignored.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import in_slices, labelled_rows, partial_sums, settle, summed, text_or_empty
+from helixframe.llm.common import in_slices, labelled_texts, partial_sums, settle, summed, text_or_empty
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -125,8 +126,7 @@ def logistic(x: np.ndarray, ratios: np.ndarray, y: np.ndarray, rounds: int = 300
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: Column, fit_rows: int = 16000) -> ToxicityModel | float:
     """The model, or a constant score where the labelled rows hold one class at most."""
-    rows = F.broadcast(labelled_rows(labels, "toxic", fold, fit_rows).select(F.col("doc_id").alias("_id"), "label"))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(rows, F.col("doc_id") == F.col("_id"))
+    chosen = labelled_texts(docs, labels, "toxic", fold, fit_rows)
     sample = settle(chosen.select("doc_id", "text", "label").repartition(FIT_TASKS, "doc_id"))
     by_label = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_clean, n_toxic = by_label.get(0, 0), by_label.get(1, 0)

@@ -63,7 +63,8 @@ def test_without_labels_of_both_classes(spark, docs):
     for labels, q, t in ((none, 0.5, 0.0), (ones, 1.0, 1.0)):
         assert quality.fit_quality(docs, labels, F.lit(True)) == q and toxicity.fit_toxicity(docs, labels, F.lit(True)) == t
     assert {r["score"] for r in quality.score_quality(docs, 0.5).collect()} == {0.5}
-    assert quality.keep_quality(docs, 0.5).count() == 0 and quality.keep_quality(docs, 1.0).count() == docs.count()
+    for constant in (0.0, 0.5, 1.0):  # nothing was learnt that could reject a document
+        assert quality.keep_quality(docs, constant).count() == docs.count()
 
 
 def test_chunks_of_long_texts_give_the_same_grams(monkeypatch):
@@ -90,3 +91,13 @@ def test_texts_that_are_not_utf8(spark, models):
     for score, model in ((quality.score_quality, models[0]), (toxicity.score_toxicity, models[1])):
         assert len({r["score"] for r in score(df, model).collect()}) == 1
     assert quality.keep_quality(df, models[0], 0.0).count() == 2
+
+
+def test_repeated_identifiers_do_not_enlarge_the_sample(spark, labels):
+    from helixframe.llm.common import labelled_texts
+
+    some = [r["doc_id"] for r in labels.where("doc_id is not null and quality is not null").limit(3).collect()]
+    df = spark.createDataFrame([(i, f"text {n}", "x") for i in some for n in range(200)], "doc_id long, text string, label string")
+    got = labelled_texts(df, labels, "quality", F.lit(True), 8000).collect()
+    again = labelled_texts(df.repartition(5, "text"), labels, "quality", F.lit(True), 8000).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(some) and sorted(map(tuple, got)) == sorted(map(tuple, again))
