@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.alphabet import DINUCLEOTIDES, NUCLEOTIDES, canonical_words, reverse_complement, words
@@ -133,12 +133,21 @@ def svd_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("lnc", "disease", (F.round(dot, 6) + 0.0).alias("value"))
 
 
+def _mean(name: str) -> Column:
+    """Mean of a double column, added up as decimals, so that a mean at a limit does not hang on the order of the rows.
+
+    Where a value is not finite or 10**10 and more, the mean is that of doubles.
+    """
+    x = F.col(name)
+    return F.when(F.max(F.abs(x)) >= 1e10, F.avg(x)).otherwise(F.avg(x.try_cast("decimal(28,18)")).cast("double"))
+
+
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as rows, part types as 0/1 columns, as raw label tables come."""
     lines = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_discount")
     parts = _table(spark, sf_dir, "part").select("p_partkey", "p_type")
     cells = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).groupBy(F.col("l_suppkey").cast("string").alias("lnc"), F.col("p_type").alias("disease"))
-    raw = cells.agg((F.avg("l_discount") > 0.05).cast("int").alias("value"))
+    raw = cells.agg((_mean("l_discount") > 0.05).cast("int").alias("value"))
     return association.to_wide(raw).withColumnRenamed("lnc", "ID").withColumns({"seqs": F.lit("ACGU"), "Unnamed: 0": F.lit(0)})
 
 

@@ -30,3 +30,22 @@ def test_query_equals_sql(spark, sql, sf_dir, name):
 def test_every_query_runs(spark, sf_dir):
     for name in set(engine.queries()) - set(ORACLES):
         assert engine.queries()[name](spark, sf_dir).count() > 0
+
+
+@pytest.fixture(scope="module")
+def ties(tmp_path_factory):
+    """Means of exactly 0.05 in suppliers 0 to 4: sums of doubles end at, above or below their limit by the order of the rows."""
+    at, c = tmp_path_factory.mktemp("ties"), duckdb.connect()
+    cells = [[0.1, 0.02, 0.03], [0.03, 0.02, 0.1], [0.01, 0.09], [0.05] * 6, [0.1, 0.03, 0.02], [0.05, 0.06], [0.05, 0.04], [None, None], [float("nan"), 0.01], [1e300, 0.01]]
+    c.execute("CREATE TABLE lineitem (l_suppkey BIGINT, l_partkey BIGINT, l_quantity DOUBLE, l_discount DOUBLE)")
+    c.executemany("INSERT INTO lineitem VALUES (?, 0, 1, ?)", [(s, d) for s, values in enumerate(cells) for d in values])
+    c.execute("CREATE TABLE part AS SELECT CAST(0 AS BIGINT) AS p_partkey, 'b' AS p_brand, 't' AS p_type")
+    for t in ("lineitem", "part"):
+        c.execute(f"COPY {t} TO '{at}/{t}.parquet' (FORMAT parquet)")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["y_from_wide"])
+def test_means_at_the_limit(spark, ties, name):
+    got = {r["lnc"]: r["value"] for r in engine.queries()[name](spark, ties).collect()}
+    assert got == {str(s): float(s in (5, 8, 9)) for s in range(10)}
