@@ -45,7 +45,7 @@ def ties(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["y_from_wide"])
+@pytest.mark.parametrize("name", ["y_from_wide", "y_merge_or"])
 def test_means_at_the_limit(spark, ties, name):
     got = {r["lnc"]: r["value"] for r in engine.queries()[name](spark, ties).collect()}
     assert got == {str(s): float(s in (5, 8, 9)) for s in range(10)}
