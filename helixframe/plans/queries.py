@@ -49,6 +49,13 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(F.col(f"`{n}`"), digits) + 0.0).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
+def _rounded_pairs(df: DataFrame) -> DataFrame:
+    """Values of many pairs, 0 and above, at six places, halves up as in SQL; F.round makes a decimal of each."""
+    scaled = F.col("value") * 1e6
+    whole = F.rint(scaled)
+    return df.withColumn("value", F.when(scaled - whole == 0.5, whole + 1).otherwise(whole) / 1e6)
+
+
 def _sold(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
     parts = _table(spark, sf_dir, "part").select("p_partkey", "p_brand")
@@ -221,7 +228,7 @@ def encoder_toy_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(kernels.interaction_profile(_binary(spark, sf_dir), _lncs(spark, sf_dir), "lnc", "disease"))
+    return _rounded_pairs(kernels.interaction_profile(_binary(spark, sf_dir), _lncs(spark, sf_dir), "lnc", "disease"))
 
 
 def gip_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
