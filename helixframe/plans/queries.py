@@ -112,7 +112,7 @@ def _bma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _functional(limit: float) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(similarity.functional_similarity(_sold(spark, sf_dir), _lncs(spark, sf_dir), _bma(spark, sf_dir), limit))
+        return _rounded_pairs(similarity.functional_similarity(_sold(spark, sf_dir), _lncs(spark, sf_dir), _bma(spark, sf_dir), limit))
 
     return query
 
