@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.alphabet import DINUCLEOTIDES, NUCLEOTIDES, canonical_words, reverse_complement, words
 from helixframe.operators import association, cleaning, composition, correlation, embedding, kernels, similarity
+from helixframe.plans.lineage import settle
 from helixframe.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,8 +72,8 @@ def _diseases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.col("p_brand").alias("disease")).distinct()
 
 
-def _binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sold(spark, sf_dir).where(F.col("value") > SOLD).select("lnc", "disease", F.lit(1.0).alias("value"))
+def _binary(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> DataFrame:
+    return (sold or _sold(spark, sf_dir)).where(F.col("value") > SOLD).select("lnc", "disease", F.lit(1.0).alias("value"))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,9 +89,9 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def _disease_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _disease_terms(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> DataFrame:
     where = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("lnc"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("term"))
-    return _binary(spark, sf_dir).join(where, "lnc").select("disease", "term").distinct()
+    return _binary(spark, sf_dir, sold).join(where, "lnc").select("disease", "term").distinct()
 
 
 def _features(make: Callable[[DataFrame], DataFrame], digits: int = 6) -> Query:
@@ -105,14 +106,16 @@ def term_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(similarity.term_similarity(similarity.ancestor_values(_edges(spark, sf_dir), EDGE_WEIGHT)))
 
 
-def _bma(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bma(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> DataFrame:
     values = similarity.ancestor_values(_edges(spark, sf_dir), EDGE_WEIGHT)
-    return similarity.disease_similarity(_diseases(spark, sf_dir), _disease_terms(spark, sf_dir), values)
+    return similarity.disease_similarity(_diseases(spark, sf_dir), _disease_terms(spark, sf_dir, sold), values)
 
 
 def _functional(limit: float) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded_pairs(similarity.functional_similarity(_sold(spark, sf_dir), _lncs(spark, sf_dir), _bma(spark, sf_dir), limit))
+        # Each is needed more than once, and is small beside what it is made from.
+        sold = settle(_sold(spark, sf_dir))
+        return _rounded_pairs(similarity.functional_similarity(sold, _lncs(spark, sf_dir), settle(_bma(spark, sf_dir, sold)), limit))
 
     return query
 
