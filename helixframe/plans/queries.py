@@ -152,13 +152,23 @@ def _mean(name: str) -> Column:
     return F.when(F.max(F.abs(x)) >= 1e10, F.avg(x)).otherwise(F.avg(x.try_cast("decimal(28,18)")).cast("double"))
 
 
-def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as rows, part types as 0/1 columns, as raw label tables come."""
+def _wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """Suppliers as rows, part types as 0/1 columns D0, D1, ..., as raw label tables come, and the types of the columns."""
     lines = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_discount")
     parts = _table(spark, sf_dir, "part").select("p_partkey", "p_type")
     cells = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).groupBy(F.col("l_suppkey").cast("string").alias("lnc"), F.col("p_type").alias("disease"))
     raw = cells.agg((_mean("l_discount") > 0.05).cast("int").alias("value"))
-    return association.to_wide(raw).withColumnRenamed("lnc", "ID").withColumns({"seqs": F.lit("ACGU"), "Unnamed: 0": F.lit(0)})
+    # Types may be null, alike but for case, or named like other columns; so the columns are numbered.
+    types = sorted((r[0] for r in raw.select("disease").distinct().collect()), key=lambda t: (t is not None, t))
+    names = F.array(*[F.lit(t) for t in types]).cast("array<string>")
+    number = F.coalesce(F.array_position(names, F.col("disease")), F.lit(1)) - 1  # a null, sorted first, has no position
+    wide = association.to_wide(raw.withColumn("disease", F.concat(F.lit("D"), number.cast("string"))), [f"D{k}" for k in range(len(types))])
+    return wide.withColumnRenamed("lnc", "ID").withColumns({"seqs": F.lit("ACGU"), "Unnamed: 0": F.lit(0)}), names
+
+
+def _cells_of_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide, names = _wide(spark, sf_dir)
+    return association.from_wide(wide).select("lnc", F.get(names, F.substring("disease", 2, 9).cast("int")).alias("disease"), "value")
 
 
 def y_from_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +178,11 @@ def y_from_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def y_from_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return association.from_wide(_wide(spark, sf_dir))
+    return _cells_of_wide(spark, sf_dir)
 
 
 def y_merge_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return association.full_grid(association.merge_or(association.from_wide(_wide(spark, sf_dir)), _binary(spark, sf_dir)))
+    return association.full_grid(association.merge_or(_cells_of_wide(spark, sf_dir), _binary(spark, sf_dir)))
 
 
 def y_restrict_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,16 @@ def ties(tmp_path_factory):
 def test_means_at_the_limit(spark, ties, name):
     got = {r["lnc"]: r["value"] for r in engine.queries()[name](spark, ties).collect()}
     assert got == {str(s): float(s in (5, 8, 9)) for s in range(10)}
+
+
+@pytest.mark.parametrize("kind", [None, "T", "ID", "lnc", "seqs", "Unnamed: 3", "a.b`c"])
+def test_types_that_make_no_column_name(spark, tmp_path, kind):
+    c = duckdb.connect()
+    c.execute("CREATE TABLE part AS SELECT * FROM (VALUES (0, 'b', 't'), (1, 'c', 'u'), (2, 'b', NULL)) p (p_partkey, p_brand, p_type)")
+    c.execute("UPDATE part SET p_type = ? WHERE p_partkey = 2", [kind])
+    c.execute("CREATE TABLE lineitem (l_suppkey BIGINT, l_partkey BIGINT, l_quantity DOUBLE, l_discount DOUBLE)")
+    c.executemany("INSERT INTO lineitem VALUES (?, ?, ?, ?)", [(1, 0, 800, 0.06), (1, 2, 1, 0.01), (2, 1, 5, 0.09), (3, 2, 5, 0.09)])
+    for t in ("lineitem", "part"):
+        c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got = engine.queries()["y_merge_or"](spark, str(tmp_path)).select("lnc", "disease", "value").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(c.sql(ORACLES["y_merge_or"]).fetchall(), key=str)
